@@ -1,7 +1,7 @@
 """Problem 3: near-duplicate files, all pairs whose shingle similarity is at least a threshold.
 
 Candidates meet in an exact prefix join: shingles are ordered by how often they occur, and two sets that are
-similar enough must share one of the rarest ``n - ceil(t n) + 1`` shingles of each.  Every index row carries its
+similar enough must share ``k`` of the rarest ``n - ceil(t n) + k`` shingles of each (``k`` at most ``MEETINGS``).  Every index row carries its
 file's pivot distances: Hamming distances from the parity fingerprint of its shingle set to reference
 fingerprints.  A pair whose greatest coordinate difference exceeds the Hamming distance that the threshold
 allows cannot be similar (triangle inequality) and is discarded; survivors are verified on the whole sets.  Pivot
@@ -40,6 +40,7 @@ BLOCK = 1 << 16
 FINGERPRINT_WORDS = 64  # 4096 bits
 PIVOTS = 8
 HOT, HOT_BLOCK = 5000, 2500
+MEETINGS = 12
 
 _WORD = re.compile(r"[A-Za-z0-9_]+")
 _U = np.uint64
@@ -185,21 +186,21 @@ def _slot(sh: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _prefix_rows(file_id: int, sh: np.ndarray, counts: np.ndarray, pivots: np.ndarray, percent: int):
-    """Index rows (key, rep, n, side, pred, piv) of one set as columns."""
+    """Index rows (key, rep, n, side, piv) of one set as columns."""
     n = len(sh)
     c = counts[_slot(sh, SKETCH_BITS)]
-    keep = n + (-percent * n // 100) + 1
+    needed = -(-percent * n // 100)
+    keep = n - needed + min(MEETINGS, needed)
     order = np.lexsort((sh, c))[:keep]
     order = order[c[order] > 1]  # counted once: no other file has it
     if not len(order):
         return None
     token, count = sh[order], c[order]
-    pred = np.concatenate([np.zeros(1, np.uint64), token[:-1]]).view(np.int64)
     piv = np.bitwise_count(_fingerprint(sh) ^ pivots).sum(axis=1).astype(np.uint16).tobytes()
     key, side = token.view(np.int64), np.zeros(len(token), np.int8)
     hot = np.flatnonzero(count > HOT)
     if len(hot):
-        keys, sides, preds = [np.delete(key, hot)], [np.delete(side, hot)], [np.delete(pred, hot)]
+        keys, sides = [np.delete(key, hot)], [np.delete(side, hot)]
         for k in hot:
             grid = -(-int(count[k]) // HOT_BLOCK)
             own = xxhash.xxh3_64_intdigest(file_id.to_bytes(8, "little", signed=True)) % grid
@@ -209,28 +210,27 @@ def _prefix_rows(file_id: int, sh: np.ndarray, counts: np.ndarray, pivots: np.nd
                 cell = _mix(token[k] + _mix((low.astype(np.uint64) << _U(32)) + high.astype(np.uint64) + _M1) * _M2)
             keys.append(cell.view(np.int64))
             sides.append(np.where(low == high, 0, np.where(low == own, 1, 2)).astype(np.int8))
-            preds.append(np.full(grid, pred[k]))
-        key, side, pred = np.concatenate(keys), np.concatenate(sides), np.concatenate(preds)
-    return key, file_id, n, side, pred, piv
+        key, side = np.concatenate(keys), np.concatenate(sides)
+    return key, file_id, n, side, piv
 
 
-_INDEX = "key long, rep long, n int, side byte, pred long, piv binary"
+_INDEX = "key long, rep long, n int, side byte, piv binary"
 
 
 def _index(batches, counts, pivots, percent: int, sets):
     """Index rows of the sets that ``sets(batch)`` yields as (file_id, shingles)."""
     import pyarrow as pa
 
-    names = ["key", "rep", "n", "side", "pred", "piv"]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int8(), pa.int64(), pa.binary()]
+    names = ["key", "rep", "n", "side", "piv"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int8()]
     for batch in batches:
         parts = [r for r in (_prefix_rows(i, sh, counts.value, pivots, percent) for i, sh in sets(batch)) if r]
         for k in range(0, len(parts), 500):
             some = parts[k : k + 500]
             sizes = [len(r[0]) for r in some]
-            columns = [np.concatenate([r[0] for r in some]), np.repeat([r[1] for r in some], sizes), np.repeat([r[2] for r in some], sizes), np.concatenate([r[3] for r in some]), np.concatenate([r[4] for r in some])]
-            piv = pa.array([r[5] for r in some], pa.binary()).take(pa.array(np.repeat(np.arange(len(some)), sizes)))
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types, strict=False)), piv], names=names)
+            columns = [np.concatenate([r[0] for r in some]), np.repeat([r[1] for r in some], sizes), np.repeat([r[2] for r in some], sizes), np.concatenate([r[3] for r in some])]
+            piv = pa.array([r[4] for r in some], pa.binary()).take(pa.array(np.repeat(np.arange(len(some)), sizes)))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types, strict=True)), piv], names=names)
 
 
 def _pairs(batches, percent: int):
@@ -239,8 +239,8 @@ def _pairs(batches, percent: int):
 
     rest = None
     for batch in batches:
-        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
-        columns.append(np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint16).reshape(-1, PIVOTS).astype(np.int32))
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+        columns.append(np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint16).reshape(-1, PIVOTS).astype(np.int32))
         if rest is not None:
             columns = [np.concatenate([a, b]) for a, b in zip(rest, columns, strict=True)]
         key = columns[0]
@@ -252,7 +252,7 @@ def _pairs(batches, percent: int):
 
 
 def _emit(columns, percent: int, pa):
-    key, rep, n, side, pred, piv = columns
+    key, rep, n, side, piv = columns
     at, step = np.arange(len(key)), 1
     while len(at):
         at = at[at + step < len(key)]
@@ -261,13 +261,13 @@ def _emit(columns, percent: int, pa):
         low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
         ok = (rep[i] != rep[j]) & (100 * low.astype(np.int64) >= percent * high.astype(np.int64))
         ok &= ((side[i] == 0) & (side[j] == 0)) | (side[i] + side[j] == 3)
-        ok &= (pred[i] == 0) | (pred[i] != pred[j])  # else the pair met at that earlier shingle
         i, j = i[ok], j[ok]
         far = (100 - percent) * (n[i].astype(np.int64) + n[j]) // (100 + percent)
         near = np.abs(piv[i] - piv[j]).max(axis=1, initial=0) <= far
         i, j = i[near], j[near]
         if len(i):
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[i], rep[j])), pa.array(np.maximum(rep[i], rep[j]))], names=["a", "b"])
+            need = np.minimum(MEETINGS, -(-percent * np.minimum(n[i], n[j]).astype(np.int64) // 100)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[i], rep[j])), pa.array(np.maximum(rep[i], rep[j])), pa.array(need)], names=["a", "b", "need"])
         step += 1
 
 
@@ -378,8 +378,9 @@ def near_copies(dataset: DataFrame, percent: int = PERCENT, width: int = WIDTH,
     again = texts.mapInArrow(doubtful, "file_id long, sh binary").dropDuplicates(["file_id"])
     again = again.join(repeated.where("file_id <> rep").select("file_id"), "file_id", "left_anti")
     index = texts.mapInArrow(direct, _INDEX).unionByName(again.select("file_id", "sh").mapInArrow(stored, _INDEX))
-    met = index.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _pairs(b, percent), "a long, b long")
-    met.distinct().write.parquet(f"{folder}/pairs")
+    met = index.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _pairs(b, percent), "a long, b long, need int")
+    met = met.groupBy("a", "b").agg(F.count("*").alias("met"), F.max("need").alias("need")).where("met >= need").select("a", "b")
+    met.write.parquet(f"{folder}/pairs")
     candidates = spark.read.schema("a long, b long").parquet(f"{folder}/pairs")
 
     ends = candidates.select(F.explode(F.array("a", "b")).alias("file_id"))
