@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("p01_languages", "p02_syntax", "p03_near_copies", "p04_credentials", "p05_generated", "p06_cutoffs", "p07_defects")
+MODULES = ("p01_languages", "p02_syntax", "p03_near_copies", "p04_credentials", "p05_generated", "p06_cutoffs", "p07_defects", "p08_tokens", "p09_packing", "p10_sentences")
 
 
 def queries() -> dict:
