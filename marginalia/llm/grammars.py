@@ -103,7 +103,7 @@ conj = inv {'and' inv}
 inv = 'not' inv | bitor {cmpop bitor}
 cmpop = CMP | 'in' | 'not' 'in' | 'is' ['not']
 bitor = unary {binop unary}
-binop = BINOP | '|' | '+' | '-' | '*' | '@'
+binop = BINOP | '|' | '+' | '-' | '*' | '/' | '@'
 unary = '+' unary | '-' unary | '~' unary | ['await'] atom {trailer} ['**' unary]
 atom = n | literal | bracketed
 literal = NUM | CONST | '...' | strings

@@ -243,7 +243,7 @@ def defective_results(generated: DataFrame) -> DataFrame:
     judged = flat_map(_comments(generated), _judge, "result_id long, defect string, last string").dropDuplicates(["result_id"])
     ends = word_ends(generated)
     rare_end = (F.col("n") >= 20) & (F.col("n_last") < 0.04 * F.col("n"))
-    cut_word = (F.col("n") == F.col("n_last")) & (F.col("longer") >= 10 * F.col("n"))
+    cut_word = (F.col("n") == F.col("n_last")) & (F.col("longer") >= 4 * F.col("n"))
     broken = judged.join(ends, F.col("last") == F.col("word"), "left")
     late = F.when(F.coalesce(rare_end | cut_word, F.lit(False)), F.lit("truncated"))
     return broken.select("result_id", F.coalesce("defect", late).alias("defect")).where(F.col("defect").isNotNull())

@@ -41,8 +41,8 @@ _PY_WORDS = frozenset(
     "and as assert async await break class continue def del elif else except finally for from global if import in is lambda "
     "nonlocal not or pass raise return try while with yield match case type _".split()
 )
-_PY_OP = {o: o for o in "( ) [ ] { } , : ; . = := -> ... + - * ** ~ @ |".split()}
-_PY_OP |= dict.fromkeys("/ // % & ^ << >>".split(), "BINOP")
+_PY_OP = {o: o for o in "( ) [ ] { } , : ; . = := -> ... + - * ** / ~ @ |".split()}
+_PY_OP |= dict.fromkeys("// % & ^ << >>".split(), "BINOP")
 _PY_OP |= dict.fromkeys("< > == != <= >=".split(), "CMP")
 _PY_OP |= dict.fromkeys("+= -= *= /= //= %= @= &= |= ^= >>= <<= **=".split(), "AUG")
 _PY_NUM = re.compile(
