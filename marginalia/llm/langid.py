@@ -55,7 +55,7 @@ MARKS = {
 }
 
 _TOKEN = re.compile(
-    r"""(?P<id>(?:https?://|www\.)\S+|[A-Za-z]\w*(?:[_.]\w+)+(?:\(\))?|\w*\d\w*)
+    r"""(?P<id>(?:https?://|www\.)\S+|(?=[A-Za-z=]*[0-9+/])[A-Za-z0-9+/=]{20,}|[A-Za-z]\w*(?:[_.]\w+)+(?:\(\))?|\w*\d\w*)
     |(?P<la>[A-Za-zª-ɏḀ-ỿ̀-ͯ]+)
     |(?P<cy>[Ѐ-ԯ̀-ͯ]+)|(?P<ar>[ؐ-ؚؠ-ٟٮ-ۓە-ۯݐ-ݿ]+)|(?P<hi>[ऀ-ॣॱ-ॿ‌‍]+)
     |(?P<th>[ก-ฺเ-๎]+)|(?P<ko>[가-힯ᄀ-ᇿ㄰-㆏]+)|(?P<ka>[ぁ-ヿㇰ-ㇿｦ-ﾝ]+)|(?P<ha>[㐀-䶿一-鿿豈-﫿々]+)""",
