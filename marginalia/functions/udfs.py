@@ -35,7 +35,7 @@ def item_id(repo: pd.Series, path: pd.Series, commit: pd.Series, kind: pd.Series
 
     def one(*key):
         key = [None if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)) else int(v) if isinstance(v, float) else v for v in key]
-        return hashlib.sha1(json.dumps(key).encode()).hexdigest()[:16]
+        return hashlib.sha1(json.dumps(key, ensure_ascii=False).encode()).hexdigest()[:16]
 
     return pd.Series([one(*k) for k in zip(repo, path, commit, kind, start, end, model, strict=True)])
 

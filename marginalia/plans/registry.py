@@ -11,6 +11,7 @@ from marginalia.functions import code, text, udfs
 from marginalia.operators import aggregates as agg
 from marginalia.operators import joins
 from marginalia.operators import records as rec
+from marginalia.plans import pipelines
 from marginalia.plans.session import cut
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -496,9 +497,67 @@ def code3_complexity(spark, sf_dir):
     return c.select("file_id", "pos", "prompt_code").join(codes, "prompt_code").select("file_id", "pos", "m.*")
 
 
+# ---- whole stages
+
+
+@query()
+def e1_filter_funnel(spark, sf_dir):
+    return pipelines.filter_files(_t(spark, sf_dir, "dataset"), MARKERS, 8192).funnel()
+
+
+@query()
+def e1_kept_targets(spark, sf_dir):
+    kept = pipelines.filter_files(_t(spark, sf_dir, "dataset"), MARKERS, 8192).kept()
+    return kept.select("file_id", F.explode("target_comments").alias("c")).select("file_id", "c.type", "c.start_line", "c.end_line", F.md5("c.prompt_code").alias("code_md5"))
+
+
+@query(f"""WITH {_FILES}, s AS (SELECT crc32_task AS task, repo_name FROM (SELECT file_id % 4 AS crc32_task, repo_name FROM files))
+SELECT count(*) AS num_files, count(DISTINCT repo_name) AS num_repos FROM s""")
+def agg3_merge_counts(spark, sf_dir):
+    shards = rec.once(_t(spark, sf_dir, "dataset"), "file_id", "repo_name").groupBy((F.col("file_id") % 4).alias("task")).agg(F.count("*").alias("num_files"), F.collect_set("repo_name").alias("repo_names"))
+    return pipelines.merge_shard_counts(shards)
+
+
+@query()
+def prj5_sample_items(spark, sf_dir):
+    return pipelines.sample_items(_t(spark, sf_dir, "generated_scored"), "bertscore_f1", 0.2, 100).select("id", "model", "result_id", "score")
+
+
+@query(f"""WITH {_TARGETS}, p AS (SELECT t.file_id, f.new_path, f.commit_hash, c.type AS type, c.start_line AS start_line, CAST(ceil(octet_length(encode(c.prompt)) / 2.0) AS BIGINT) AS n FROM targets t JOIN files f USING (file_id) WHERE c.prompt IS NOT NULL)
+SELECT w.window_name, p.file_id, p.new_path, p.commit_hash, p.type, p.start_line, p.n AS prompt_tokens, p.n - w.capacity AS overflow_tokens FROM p JOIN context_windows w ON p.n > w.capacity""")
+def prj6_overflows(spark, sf_dir):
+    files = rec.once(_t(spark, sf_dir, "dataset"), "file_id", "new_path", "commit_hash", "target_comments")
+    c = files.select("file_id", "new_path", "commit_hash", F.explode("target_comments").alias("c")).where("c.prompt IS NOT NULL")
+    rows = c.select("file_id", "new_path", "commit_hash", "c.type", "c.start_line", F.ceil(F.octet_length("c.prompt") / 2).alias("prompt_tokens"))
+    over = rows.crossJoin(F.broadcast(_t(spark, sf_dir, "context_windows"))).where(F.col("prompt_tokens") > F.col("capacity"))
+    return over.select("window_name", "file_id", "new_path", "commit_hash", "type", "start_line", "prompt_tokens", (F.col("prompt_tokens") - F.col("capacity")).alias("overflow_tokens"))
+
+
+@query("SELECT id, count(*) AS n_versions, bool_and(updated_at IS NOT NULL AND id IS NOT NULL AND regexp_full_match(id, '[0-9a-f]{16}')) AS valid FROM annotations GROUP BY id")
+def str5_valid_annotations(spark, sf_dir):
+    ok = F.col("updated_at").isNotNull() & F.col("id").isNotNull() & F.col("id").rlike(r"\A[0-9a-f]{16}\z")
+    return _t(spark, sf_dir, "annotations").groupBy("id").agg(F.count("*").alias("n_versions"), F.bool_and(ok).alias("valid"))
+
+
+@query("SELECT CAST(commit_datetime[1:10] AS DATE) AS day, count(DISTINCT file_id) AS n_files FROM dataset WHERE commit_datetime[1:10] >= '2000-01-01' GROUP BY day")
+def date1_commits_per_day(spark, sf_dir):
+    """DATE-1, DATE-2: local days of commits, the offset left alone."""
+    day = F.to_date(F.substring("commit_datetime", 1, 10))
+    return _t(spark, sf_dir, "dataset").select("file_id", day.alias("day")).where("day >= DATE'2000-01-01'").groupBy("day").agg(F.count_distinct("file_id").alias("n_files"))
+
+
 # ---- plots' tables
 
 
+@query()
+def viz2_scatter_points(spark, sf_dir):
+    """FIL-17: complete cases of two complexities and all scores."""
+    r = rec.results(_t(spark, sf_dir, "generated_scored"), "scores", ".prompt_code").where("prompt_code IS NOT NULL")
+    codes = r.select("prompt_code").distinct().select("prompt_code", code.complexity("prompt_code").alias("m"))
+    flat = r.join(codes, "prompt_code").select("result_id", "model", "m.cognitive_complexity", "m.cyclomatic_complexity", *(F.col(f"scores.{m}").alias(m) for m in rec.SCORES))
+    return flat.dropna(subset=["cognitive_complexity", "cyclomatic_complexity", *rec.SCORES])
+
+
 @query()
 def viz3_matrix(spark, sf_dir):
     """JOIN-9, STR-9: the full grid with a cell text, a dash where there is no correlation."""
