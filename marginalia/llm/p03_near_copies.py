@@ -417,3 +417,12 @@ def p3_five_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_files": p3_files, "p3_groups": p3_groups, "p3_five_words": p3_five_words}
+
+ORACLE = {
+    "p3_found": """WITH f AS (SELECT DISTINCT ON (file_id) file_id, source_code FROM dataset WHERE length(source_code) >= 200),
+w AS (SELECT file_id, list_transform(regexp_extract_all(source_code, '[A-Za-z0-9_]+'), lambda x: lower(x)) AS w FROM f),
+s AS (SELECT DISTINCT file_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 3),
+n AS (SELECT file_id, count(*) AS n FROM s GROUP BY file_id),
+p AS (SELECT a.file_id AS a, b.file_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.file_id < b.file_id GROUP BY ALL)
+SELECT p.a AS file_id_a, p.b AS file_id_b FROM p JOIN n x ON x.file_id = p.a JOIN n y ON y.file_id = p.b WHERE 100 * k >= 65 * (x.n + y.n - k)"""
+}

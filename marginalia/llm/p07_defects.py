@@ -244,7 +244,9 @@ def defective_results(generated: DataFrame) -> DataFrame:
     ends = word_ends(generated)
     rare_end = (F.col("n") >= 20) & (F.col("n_last") < 0.04 * F.col("n"))
     cut_word = (F.col("n") == F.col("n_last")) & (F.col("longer") >= 4 * F.col("n"))
-    broken = judged.join(ends, F.col("last") == F.col("word"), "left")
+    # results that need no look-up are most of all; a key of their own keeps them from meeting in one task
+    key = F.coalesce("last", F.concat(F.lit("\0"), F.col("result_id").cast("string")))
+    broken = judged.join(ends, key == F.col("word"), "left")
     late = F.when(F.coalesce(rare_end | cut_word, F.lit(False)), F.lit("truncated"))
     return broken.select("result_id", F.coalesce("defect", late).alias("defect")).where(F.col("defect").isNotNull())
 

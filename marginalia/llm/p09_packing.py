@@ -2,8 +2,8 @@
 
 Documents are spread over groups by a hash; each group is packed by best-fit decreasing.  Dual feasible functions
 give a lower bound that certifies a group's number of containers.  Groups with a gap release the documents of their
-containers that are not full, exchange them with other such groups and pack again; the result is taken only where
-it needs fewer containers.  The same bound over all sizes certifies the whole.
+containers with more than ``SPARE`` of their room unused, exchange them with other such groups and pack again; the
+result is taken only where it needs fewer containers.  The same bound over all sizes certifies the whole.
 
 Defined cases: a document longer than the capacity is cut into full pieces and a rest; null and empty texts take no
 room and get no container; capacities that are null or not positive are left out.
@@ -26,6 +26,7 @@ from .p08_tokens import TOKENIZERS, encode
 GROUP = 4096
 ROUNDS = 4
 MERGE = 8
+SPARE = 0.03
 
 _ITEMS = "window_name string, capacity int, grp long, doc_id long, piece int, n_tokens int, container string, certified boolean"
 
@@ -128,7 +129,7 @@ def pack(counts: DataFrame, windows: DataFrame, group: int = GROUP, rounds: int
         if groups == 1:
             break
         room = packed.groupBy("window_name", "container").agg(F.sum("n_tokens").alias("used"), F.max("capacity").alias("capacity"), F.max("certified").alias("certified"))
-        loose = room.where(~F.col("certified") & (F.col("used") < F.col("capacity"))).select("window_name", "container")
+        loose = room.where(~F.col("certified") & (F.col("used") < (1 - SPARE) * F.col("capacity"))).select("window_name", "container")
         kept = packed.join(loose, ["window_name", "container"], "left_anti")
         moved = packed.join(loose, ["window_name", "container"], "left_semi")
         done.append(kept)
