@@ -39,10 +39,14 @@ def target_comments(dataset: DataFrame, *fields: str) -> DataFrame:
     return rows.select("file_id", "repo_name", "pos", *(F.col(f"c.{f}").alias(f) for f in fields))
 
 
-def results(generated: DataFrame, *fields: str) -> DataFrame:
-    """PRJ-7 on a run: one row per result; ``fields`` are of the result or, with a dot, of its comment."""
+def results(generated: DataFrame, *fields: str, **computed: Column) -> DataFrame:
+    """PRJ-7 on a run: one row per result; ``fields`` are of the result or, with a dot, of its comment.
+
+    ``computed`` columns are made of ``r`` and ``c`` before duplicates go, so that long texts need not be carried.
+    """
     rows = generated.select("file_id", F.explode("comment_generations").alias("c")).select("file_id", "c", F.explode("c.results").alias("r"))
     picked = [F.col(f"c.{f[1:]}").alias(f[1:]) if f[0] == "." else F.col(f"r.{f}").alias(f) for f in fields]
+    picked += [value.alias(name) for name, value in computed.items()]
     out = rows.select("file_id", F.col("r.result_id").alias("result_id"), model_name(F.col("r.model")).alias("model"), *picked)
     return out.where(F.col("result_id").isNotNull()).dropDuplicates(["result_id"])
 

@@ -12,7 +12,7 @@ from marginalia.operators import aggregates as agg
 from marginalia.operators import joins
 from marginalia.operators import records as rec
 from marginalia.plans import pipelines
-from marginalia.plans.session import cut
+from marginalia.plans.session import cut, spread, widen
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -275,7 +275,7 @@ def agg12_metric_summary(spark, sf_dir):
 def _pairs(spark, sf_dir):
     r = rec.results(_t(spark, sf_dir, "generated_scored"), "error", "comment_text", ".comment")
     r = r.where(rec.is_scorable(F.col("error"), F.col("comment_text"), F.col("comment")))
-    return r.select("result_id", "model", udfs.pair_scores(text.normalize_comment("comment_text"), text.normalize_comment("comment")).alias("s")).select("result_id", "model", "s.*")
+    return spread(r).select("result_id", "model", udfs.pair_scores(text.normalize_comment("comment_text"), text.normalize_comment("comment")).alias("s")).select("result_id", "model", "s.*")
 
 
 @query()
@@ -283,12 +283,19 @@ def agg13_corpus_bleu(spark, sf_dir):
     return agg.corpus_bleu(_pairs(spark, sf_dir), "model")
 
 
+def _code_metrics(generated):
+    """(code_key, m): the metrics of each distinct prompt code, under its digest."""
+    codes = generated.select(F.explode("comment_generations.prompt_code").alias("code")).where("code IS NOT NULL")
+    codes = codes.groupBy(F.md5("code").alias("code_key")).agg(F.any_value("code").alias("code"))
+    return spread(codes).select("code_key", code.complexity("code").alias("m"))
+
+
 @query()
 def agg14_correlations(spark, sf_dir):
     """Every model, every score, every code metric of the prompt code."""
-    r = rec.results(_t(spark, sf_dir, "generated_scored"), "scores", ".prompt_code")
-    codes = r.select("prompt_code").where("prompt_code IS NOT NULL").distinct().select("prompt_code", code.complexity("prompt_code").alias("m"))
-    long = rec.unpivot_scores(r, "model", "prompt_code").join(codes, "prompt_code")
+    g = _t(spark, sf_dir, "generated_scored")
+    r = rec.results(g, "scores", code_key=F.md5("c.prompt_code")).where("code_key IS NOT NULL")
+    long = rec.unpivot_scores(r.join(_code_metrics(g), "code_key"), "model", "m")
     names = code.METRICS
     grid = long.select("model", "metric", "score", F.inline(F.array(*(F.struct(F.lit(n).alias("code_metric"), F.col(f"m.{n}").cast("double").alias("value")) for n in names))))
     return agg.correlations(grid, ["model", "metric", "code_metric"], "score", "value")
@@ -476,7 +483,7 @@ def txt3_greedy_cosine(spark, sf_dir):
 @query()
 def code1_comment_changes(spark, sf_dir):
     """CODE-1, JOIN-6, WIN-1, WIN-4: comments of each eligible file by kind and status; files that do not tokenize apart."""
-    d = _t(spark, sf_dir, "dataset").where(rec.eligible_files()).select("file_id", code.changed_comments("source_code", "previous_source_code").alias("x"))
+    d = widen(_t(spark, sf_dir, "dataset").where(rec.eligible_files())).select("file_id", code.changed_comments("source_code", "previous_source_code").alias("x"))
     d = d.select("file_id", "x.error", F.explode_outer("x.comments").alias("c"))
     return d.groupBy("file_id").agg(F.any_value(F.col("error").isNotNull()).alias("parse_error"), *(F.count_if(F.col("c.status") == s).alias(f"n_{s}") for s in ("added", "modified", "unchanged", "removed")))
 
@@ -493,7 +500,7 @@ def code2_prompt_code(spark, sf_dir):
 @query()
 def code3_complexity(spark, sf_dir):
     c = rec.target_comments(_t(spark, sf_dir, "dataset"), "prompt_code").where("prompt_code IS NOT NULL")
-    codes = c.select("prompt_code").distinct().select("prompt_code", code.complexity("prompt_code").alias("m"))
+    codes = spread(c.select("prompt_code").distinct()).select("prompt_code", code.complexity("prompt_code").alias("m"))
     return c.select("file_id", "pos", "prompt_code").join(codes, "prompt_code").select("file_id", "pos", "m.*")
 
 
@@ -552,9 +559,9 @@ def date1_commits_per_day(spark, sf_dir):
 @query()
 def viz2_scatter_points(spark, sf_dir):
     """FIL-17: complete cases of two complexities and all scores."""
-    r = rec.results(_t(spark, sf_dir, "generated_scored"), "scores", ".prompt_code").where("prompt_code IS NOT NULL")
-    codes = r.select("prompt_code").distinct().select("prompt_code", code.complexity("prompt_code").alias("m"))
-    flat = r.join(codes, "prompt_code").select("result_id", "model", "m.cognitive_complexity", "m.cyclomatic_complexity", *(F.col(f"scores.{m}").alias(m) for m in rec.SCORES))
+    g = _t(spark, sf_dir, "generated_scored")
+    r = rec.results(g, "scores", code_key=F.md5("c.prompt_code"))
+    flat = r.join(_code_metrics(g), "code_key").select("result_id", "model", "m.cognitive_complexity", "m.cyclomatic_complexity", *(F.col(f"scores.{m}").alias(m) for m in rec.SCORES))
     return flat.dropna(subset=["cognitive_complexity", "cyclomatic_complexity", *rec.SCORES])
 
 

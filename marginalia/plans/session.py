@@ -41,3 +41,14 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Materialise ``df`` in the shared folder, so that a lost executor costs no recomputation."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager)
+
+
+def widen(df: DataFrame) -> DataFrame:
+    """For inputs with fewer partitions than cores, as a single small file is: spread before costly functions."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Exactly as many partitions as configured: what follows costs far more than its bytes tell the planner."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
