@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from marginalia.plans.session import widen
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -18,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def flat_map(df: DataFrame, fn: Callable[..., Iterable[tuple]], schema: str | T.StructType, chunk: int = 20_000) -> DataFrame:
     """``fn(*row)`` for every row of ``df``; each tuple it yields becomes a row of ``schema``.
 
-    Rows travel in Arrow batches, stay in their partitions and are never gathered.
+    Rows travel in Arrow batches, stay in their partitions unless these are fewer than the cores, and are never gathered.
     """
     out = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(out)
@@ -34,7 +36,7 @@ def flat_map(df: DataFrame, fn: Callable[..., Iterable[tuple]], schema: str | T.
         if rows:
             yield _batch(rows, arrow)
 
-    return df.mapInArrow(run, out)
+    return widen(df).mapInArrow(run, out)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.plans.session import checkpoint_dir, cut
+from marginalia.plans.session import checkpoint_dir, cut, widen
 
 from .common import sources, table
 
@@ -331,7 +331,7 @@ def components(edges: DataFrame) -> DataFrame:
 def near_copies(dataset: DataFrame, percent: int = PERCENT, width: int = WIDTH, min_chars: int = MIN_CHARS) -> NearCopies:
     """All files that are similar: shared runs of ``width`` words over all runs of both, at least ``percent`` / 100."""
     spark = dataset.sparkSession
-    texts = sources(dataset).select("file_id", "source_code").where(F.length("source_code") >= min_chars)
+    texts = widen(sources(dataset).select("file_id", "source_code").where(F.length("source_code") >= min_chars))
     folder = f"{checkpoint_dir(spark)}/near-copies-{uuid.uuid4().hex}"
 
     def survey(batches):

@@ -2,7 +2,7 @@
 
 Every target's convex pinball loss is minimised by cutting planes: losses and subgradients at a few points per
 target are aggregated in one pass over all rows, the tangents at both ends of the bracket give the next point
-(with its midpoint as a safeguard), and the bracket's ends snap to the exact neighbouring scores.  A pass brings a
+(with a few evenly spaced ones as a safeguard), and the bracket's ends snap to the exact neighbouring scores.  A pass brings a
 handful of numbers per target to the driver; it ends when a score is proven to be the wanted order statistic.
 
 Defined cases: a null or empty model counts as ``<unknown>``; null and NaN scores and null ids are left out;
@@ -25,6 +25,7 @@ from .common import table
 METRICS = ("bleu1", "bleu2", "bleu3", "bleu4", "rougeL", "bertscore_f1")
 MAX_TARGETS = 100_000
 UNKNOWN = "<unknown>"
+SAFEGUARD = 7
 
 
 def scored_results(generated: DataFrame) -> DataFrame:
@@ -54,16 +55,17 @@ class _Bracket:
         self.kept = 0
 
     def points(self) -> list[float]:
-        """Where to look next: the ends, the tangents' meeting point and the middle."""
+        """Where to look next: the ends, the tangents' meeting point and points that part the bracket evenly."""
         out = {self.low, self.high} - self.planes.keys()
         a, b = self.planes.get(self.low), self.planes.get(self.high)
         if a and b and math.isfinite(a[0]) and math.isfinite(b[0]) and b[1] != a[2]:
             meet = (a[0] - b[0] + b[1] * self.high - a[2] * self.low) / (b[1] - a[2])
             if self.low < meet < self.high:
                 out.add(meet)
-        middle = self.low / 2 + self.high / 2
-        if self.low < middle < self.high:
-            out.add(middle)
+        for k in range(1, SAFEGUARD + 1):
+            inner = self.low + (self.high - self.low) * k / (SAFEGUARD + 1)
+            if self.low < inner < self.high:
+                out.add(inner)
         return sorted(out)
 
     def learn(self, q: float, below: int, equal: int, sum_below: float, sum_above: float, before: float | None, after: float | None) -> None:

@@ -19,6 +19,8 @@ import ahocorasick
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.plans.session import widen
+
 from . import langid
 from .common import flat_map, table
 
@@ -232,7 +234,7 @@ def word_ends(generated: DataFrame) -> DataFrame:
         yield flush()
 
     texts = generated.select(F.explode("comment_generations").alias("c")).select(F.explode("c.results.comment_text").alias("t")).where("t IS NOT NULL")
-    counts = texts.mapInArrow(count, "word string, n long, n_last long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_last").alias("n_last"))
+    counts = widen(texts).mapInArrow(count, "word string, n long, n_last long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_last").alias("n_last"))
     longer = counts.where(F.length("word") > 1).select(F.expr("explode(transform(sequence(1, length(word) - 1), k -> substring(word, 1, k)))").alias("begin"), "n")
     longer = longer.groupBy("begin").agg(F.max("n").alias("longer"))
     return counts.join(longer, counts.word == longer.begin, "left").select("word", "n", "n_last", F.coalesce("longer", F.lit(0)).alias("longer"))

@@ -21,6 +21,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from marginalia.plans.session import widen
+
 from .common import table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -155,7 +157,7 @@ def encode(documents: DataFrame, tokenizers: str = TOKENIZERS, ids: bool = True,
                     result = pa.array([len(r) for r in flat], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), result], names=["doc_id", "ids" if ids else "n_tokens"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>" if ids else "doc_id long, n_tokens long")
+    return widen(documents.select("doc_id", "text")).mapInArrow(run, "doc_id long, ids array<int>" if ids else "doc_id long, n_tokens long")
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
