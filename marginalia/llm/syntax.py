@@ -192,6 +192,8 @@ def _line_derivative(grammar, state: int, line: str) -> tuple[int, int]:
     for cls in line.split():
         state = grammar.derive(state, cls)
         depth += (cls in _DEEPER) - (cls in _SHALLOWER)
+        if depth > 200:  # as deep as the language allows
+            return grammar.dead, depth
     return state, depth
 
 
@@ -301,6 +303,8 @@ def parse_python(text: str) -> Verdict:
             return Verdict(False, False, line - 1, token)
         if cls in "([{":
             depth += 1
+            if depth > 200:
+                return Verdict(False, False, line - 1, token)
         elif cls in ")]}":
             depth -= 1
         if "\n" in token:
