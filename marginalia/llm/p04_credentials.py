@@ -241,15 +241,47 @@ def secrets(text: str, path: str | None = None) -> list[Secret]:
     return out
 
 
-def _places(secret: Secret, text: str, code: str) -> list[int]:
-    """Lines of ``code`` on which the same value begins."""
-    out, at = [], code.find(secret.probe)
+def _starts(secret: Secret, text: str, code: str):
+    """Offsets in ``code`` at which the same value begins."""
+    at = code.find(secret.probe)
     follow = text[secret.start : secret.end].split("\n")[1:2]
     follow = follow[0].strip() if follow else ""
     while at >= 0:
         if not secret.probe.startswith("-----BEGIN") or follow in code[at : at + len(secret.probe) + len(follow) + 40]:
-            out.append(code.count("\n", 0, at) + 1)
+            yield at
         at = code.find(secret.probe, at + len(secret.probe))
+
+
+def _places(secret: Secret, text: str, code: str) -> list[int]:
+    """Lines of ``code`` on which the same value begins."""
+    return [code.count("\n", 0, at) + 1 for at in _starts(secret, text, code)]
+
+
+def _copies(secret: Secret, text: str, code: str):
+    """(start, end) of the whole value in ``code``, whose lines may be indented otherwise or hold only a part of it."""
+    first, *rest = (ln.rstrip("\r") for ln in text[secret.start : secret.end].split("\n"))
+    for at in _starts(secret, text, code):
+        end = at + len(first if code.startswith(first, at) else secret.probe)
+        for ln in rest:
+            m = re.compile(r"[ \t\r]*\n[ \t]*" + re.escape(ln.strip())).match(code, end)
+            if not m:
+                break
+            end = m.end()
+        yield at, end
+    for ln in rest:  # where the code begins within the value
+        part = ln.strip(" \t\"'`+()\\#/*")
+        if len(part) >= 16 and not part.startswith("-----") and " " not in part:
+            yield from ((m.start(), m.end()) for m in re.finditer(re.escape(part), code))
+
+
+def secrets_of_code(found: list[Secret], text: str, code: str) -> list[Secret]:
+    """The places in ``code`` of the values found in ``text``, in order, those that overlap as one."""
+    out: list[Secret] = []
+    for a, b in sorted(x for s in found for x in _copies(s, text, code)):
+        if out and a < out[-1].end:
+            out[-1] = out[-1]._replace(end=max(b, out[-1].end))
+        else:
+            out.append(Secret(a, b, code.count("\n", 0, a) + 1, code[a:b].split("\n", 1)[0]))
     return out
 
 
@@ -262,6 +294,10 @@ def _found(file_id, path, text, comments):
                     yield file_id, c["start_line"], line
 
 
+# What stays of a private key (fences, its headers, escapes, prefixes of literals), else a run of its value.
+_PEM_BODY = re.compile(r"(-----(?:BEGIN|END)[A-Z0-9 ]*-----|\b(?:Proc-Type|DEK-Info|Version|Comment|Hash|Charset|MessageID): [^\n\"'`\\]*|\\.|(?<![\w+/=])[bBrRuUfF]{1,2}(?=[\"']))|[+/]*[A-Za-z0-9][A-Za-z0-9+/]*={0,2}")
+
+
 def redact(text: str, found: list[Secret]) -> str:
     """``text`` with only the values replaced; quotes, line ends and private-key fences stay."""
     out, at = [], 0
@@ -269,8 +305,7 @@ def redact(text: str, found: list[Secret]) -> str:
         out.append(text[at : s.start])
         value = text[s.start : s.end]
         if value.startswith("-----BEGIN"):
-            lines = value.split("\n")
-            value = "\n".join([lines[0], *[MASK if ln.strip() and not ln.startswith("-----END") else ln for ln in lines[1:]]])
+            value = _PEM_BODY.sub(lambda m: m.group() if m.group(1) else MASK, value)
         elif re.search(r"[\"'`]\s*(?:\+\s*)?[bBrRuUfF]{0,2}[\"'`]", value):
             value = re.sub(r"(^|[\"'`])([^\"'`\s+][^\"'`]*)(?=[\"'`]|$)", rf"\g<1>{MASK}", value)
         else:
@@ -286,14 +321,28 @@ def _redacted(file_id, path, text):
         yield file_id, len(found), redact(text, found)
 
 
+def _redacted_comments(file_id, path, text, comments):
+    found = secrets(text, path) if text is not None else []
+    for pos, c in enumerate(comments or ()):
+        code = c and c["prompt_code"]
+        if not code:
+            continue
+        places = secrets_of_code(found, text, code) if text is not None else secrets(code, path)
+        if places:
+            yield file_id, pos, c["start_line"], len(places), redact(code, places)
+
+
 def _files(dataset: DataFrame, *extra) -> DataFrame:
     return dataset.select("file_id", "new_path", "source_code", *extra).where(F.col("file_id").isNotNull() & F.col("source_code").isNotNull())
 
 
+def _slim():
+    return F.transform("target_comments", lambda c: F.struct(c["start_line"].alias("start_line"), c["prompt_code"].alias("prompt_code"))).alias("comments")
+
+
 def credential_places(dataset: DataFrame) -> DataFrame:
     """(file_id, comment_line, line_no): see the statement of the problem; ``comment_line`` 0 is the file itself."""
-    slim = F.transform("target_comments", lambda c: F.struct(c["start_line"].alias("start_line"), c["prompt_code"].alias("prompt_code"))).alias("comments")
-    return flat_map(_files(dataset, slim), _found, "file_id long, comment_line int, line_no int").distinct()
+    return flat_map(_files(dataset, _slim()), _found, "file_id long, comment_line int, line_no int").distinct()
 
 
 def redacted_sources(dataset: DataFrame) -> DataFrame:
@@ -301,6 +350,16 @@ def redacted_sources(dataset: DataFrame) -> DataFrame:
     return flat_map(_files(dataset), _redacted, "file_id long, n_secrets int, source_code string").dropDuplicates(["file_id"])
 
 
+def redacted_comments(dataset: DataFrame) -> DataFrame:
+    """(file_id, pos, comment_line, n_secrets, prompt_code) of each target comment whose prompt code holds credentials of its file.
+
+    ``pos`` is the place in ``target_comments``, from 0.  A prompt code without a source text is searched itself.
+    """
+    held = dataset.select("file_id", "new_path", "source_code", _slim()).where(F.col("file_id").isNotNull() & (F.size("comments") > 0))
+    schema = "file_id long, pos int, comment_line int, n_secrets int, prompt_code string"
+    return flat_map(held, _redacted_comments, schema).dropDuplicates(["file_id", "pos"])
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credential_places(table(spark, sf_dir, "dataset"))
 
@@ -309,4 +368,8 @@ def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redacted_sources(table(spark, sf_dir, "dataset"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_redacted": p4_redacted}
+def p4_redacted_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redacted_comments(table(spark, sf_dir, "dataset"))
+
+
+QUERIES = {"p4_found": p4_found, "p4_redacted": p4_redacted, "p4_redacted_comments": p4_redacted_comments}

@@ -245,6 +245,26 @@ def test_p4_frames(spark):
     assert p4.credential_places(df.where("false")).collect() == []
 
 
+def test_redacted_prompt_codes(spark):
+    c = lambda line, code: {"comment": "c", "type": "block", "start_line": line, "end_line": line, "anchor": None, "status": "added", "prompt_code": code, "prompt": None}
+    src = f'class A:\r\n    a_token = ("{SECRET[:12]}"\r\n        "{SECRET[12:]}")\r\n    password = "zrx0eimSW!"\r\n'
+    code = f'a_token = ("{SECRET[:12]}"\n    "{SECRET[12:]}")\npassword = "zrx0eimSW!"\n# Add the comment here\nx = 1'
+    df = files(spark, (1, "r", "a.py", src, [c(2, code), None, c(9, "x"), c(None, code), c(3, None)]), (1, "r", "a.py", src, [c(2, code), None, c(9, "x"), c(None, code), c(3, None)]), (2, "r", "a.py", None, [c(5, f'token = "{KEY}"')]), (3, "r", "a.py", src, None))
+    clean = code.replace(SECRET[:12], p4.MASK).replace(SECRET[12:], p4.MASK).replace("zrx0eimSW!", p4.MASK)
+    got = sorted(map(tuple, p4.redacted_comments(df).collect()), key=repr)
+    assert got == [(1, 0, 2, 2, clean), (1, 3, None, 2, clean), (2, 0, 5, 1, f'token = "{p4.MASK}"')]
+    assert p4.redacted_comments(df.where("false")).collect() == []
+
+
+def test_private_keys_in_any_layout():
+    for inner in ("\nAbC1+x/9\nDeF2==\n", "\\nAbC1+x/9\\nDeF2==\\n", '\\n" +\n  "AbC1+x/9\\n" +\n  "DeF2==\\n" +\n  "', "\r\n  AbC1+x/9\r\n  DeF2==\r\n"):
+        text = f'k = "-----BEGIN RSA PRIVATE KEY-----{inner}-----END RSA PRIVATE KEY-----"\n'
+        want = text.replace("AbC1+x/9", p4.MASK).replace("DeF2==", p4.MASK)
+        assert p4.redact(text, p4.secrets(text, "a.py")) == want
+        found = p4.secrets_of_code(p4.secrets(text, "a.js"), text, text.replace("\r", "").replace("\n  ", "\n"))
+        assert len(found) == 1 and p4.redact(text.replace("\r", "").replace("\n  ", "\n"), found) == want.replace("\r", "").replace("\n  ", "\n")
+
+
 # ---- problem 5
 
 
