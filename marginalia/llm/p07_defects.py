@@ -12,6 +12,7 @@ truncated (cut by a limit or inside a wrapper), refusal, copy, other_language, t
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -19,7 +20,6 @@ import ahocorasick
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.plans.session import widen
 
 from . import langid
 from .common import flat_map, table
@@ -49,6 +49,9 @@ _TAG = re.compile(r"^\s*<([A-Za-z][\w-]*)>")
 _END = re.compile(r"[.!?…。！？][\"'”’»)\]`]*\s*$")
 RUN, COVER = 4, 0.85
 NUMBER = "0"
+# Shares of their uses in which words that end nothing and words that may end a comment are last, how much likelier the
+# former must be, and the share of a word's uses that are cut short within it at the same place.
+OPEN_ENDS, WHOLE_ENDS, SURE, CUT_SHARE = 0.01, 0.10, 5, 0.02
 
 
 class SuffixAutomaton:
@@ -233,8 +236,11 @@ def word_ends(generated: DataFrame) -> DataFrame:
                 last.clear()
         yield flush()
 
-    texts = generated.select(F.explode("comment_generations").alias("c")).select(F.explode("c.results.comment_text").alias("t")).where("t IS NOT NULL")
-    counts = widen(texts).mapInArrow(count, "word string, n long, n_last long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_last").alias("n_last"))
+    # doubled rows would shift the ratios below, so texts are moved to their ids; the count is fixed, as counting costs more than the bytes tell
+    results = generated.select(F.explode("comment_generations").alias("c")).select(F.explode("c.results").alias("r")).select("r.result_id", F.col("r.comment_text").alias("t"))
+    n_tasks = int(generated.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = results.where("result_id IS NOT NULL AND t IS NOT NULL").repartition(n_tasks, "result_id").dropDuplicates(["result_id"]).select("t")
+    counts = texts.mapInArrow(count, "word string, n long, n_last long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_last").alias("n_last"))
     longer = counts.where(F.length("word") > 1).select(F.expr("explode(transform(sequence(1, length(word) - 1), k -> substring(word, 1, k)))").alias("begin"), "n")
     longer = longer.groupBy("begin").agg(F.max("n").alias("longer"))
     return counts.join(longer, counts.word == longer.begin, "left").select("word", "n", "n_last", F.coalesce("longer", F.lit(0)).alias("longer"))
@@ -244,8 +250,12 @@ def defective_results(generated: DataFrame) -> DataFrame:
     """(result_id, defect) of each defective result."""
     judged = flat_map(_comments(generated), _judge, "result_id long, defect string, last string").dropDuplicates(["result_id"])
     ends = word_ends(generated)
-    rare_end = (F.col("n") >= 20) & (F.col("n_last") < 0.04 * F.col("n"))
-    cut_word = (F.col("n") == F.col("n_last")) & (F.col("longer") >= 4 * F.col("n"))
+    # the likelihood of the word's other uses, were it one that ends no answer or one that may; for many uses the bound is near 4 %
+    k = F.greatest(F.col("n_last") - 1, F.lit(0))
+    odds = k * math.log(OPEN_ENDS / WHOLE_ENDS) + (F.col("n") - 1 - k) * math.log((1 - OPEN_ENDS) / (1 - WHOLE_ENDS))
+    rare_end = odds >= math.log(SURE)
+    # a fragment ends as few answers as are cut within the longer word, whoever else uses it; one more is chance
+    cut_word = (F.col("longer") >= 4 * F.col("n")) & (F.col("n_last") <= 1 + CUT_SHARE * F.col("longer"))
     # results that need no look-up are most of all; a key of their own keeps them from meeting in one task
     key = F.coalesce("last", F.concat(F.lit("\0"), F.col("result_id").cast("string")))
     broken = judged.join(ends, key == F.col("word"), "left")

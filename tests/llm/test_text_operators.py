@@ -325,6 +325,22 @@ def test_p7_frames(spark):
     assert p7.defective_results(df.where("false")).collect() == []
 
 
+def test_word_rules_are_ratios(spark):
+    """A fragment that is used elsewhere, a word seen 19 times; whole words and doubled rows don't count as either."""
+    others = ["page", "queue", "table", "socket", "index", "cache", "ledger", "frame", "mirror", "beacon", "router", "lease"]
+    texts = [f"# Keep the {a} in memory while it waits for the {b}." for a in others for b in others if a != b][:60]
+    texts += ["# The mem flag is set here."] + [f"# It stays because the {a} of number {k} is late." for k, a in enumerate(others + others[:6])]
+    texts += [f"# Read the digest of the {a}." for a in others] + [f"# Read the {a} of the digest." for a in others]
+    rows = [(k, "m", None, t, None) for k, t in enumerate(texts)]
+    doubled = [(500 + k, "m", None, f"# The anchor of the {a} is old.", None) for k, a in enumerate(others)]
+    ends = [(900, "m", None, "# Keep the lease in mem", None), (901, "m", None, "# Drop it because", None), (902, "m", None, "# Read the digest", None), (903, "m", None, "# Lift the anchor", None)]
+    schema = "file_id long, comment_generations array<struct<prompt:string,results:array<struct<result_id:long,model:string,raw_response:string,comment_text:string,error:string>>>>"
+    df = spark.createDataFrame([(1, [("p", rows + ends)]), (2, [("p", doubled)]), (2, [("p", doubled)])], schema)
+    words = {r.word: (r.n, r.n_last) for r in p7.word_ends(df).collect()}
+    assert (words["mem"], words["because"], words["anchor"]) == ((2, 1), (19, 1), (13, 1))
+    assert {r.result_id: r.defect for r in p7.defective_results(df).collect()} == {900: "truncated", 901: "truncated"}
+
+
 # ---- problem 10
 
 
