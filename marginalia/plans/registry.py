@@ -324,6 +324,12 @@ def agg18_items_per_repo(spark, sf_dir):
     return rec.once(_t(spark, sf_dir, "dataset"), "file_id", "repo_name").groupBy("repo_name").agg(F.count("*").alias("n_items")).orderBy(F.desc("n_items"), "repo_name").limit(20)
 
 
+@query(f"WITH {_FILES} SELECT repo_name, count(*) AS n_items FROM files WHERE file_id IS NOT NULL GROUP BY repo_name ORDER BY n_items DESC, repo_name")
+def agg18_all_items_per_repo(spark, sf_dir):
+    """AGG-18 for every repository; ``agg18_items_per_repo`` has its first 20 rows, as its SQL does."""
+    return rec.once(_t(spark, sf_dir, "dataset"), "file_id", "repo_name").groupBy("repo_name").agg(F.count("*").alias("n_items")).orderBy(F.desc("n_items"), "repo_name")
+
+
 _EDGES = """e AS (SELECT metric, min(score) AS lo, max(score) AS hi FROM long GROUP BY metric), edges AS (SELECT metric, lo, hi, i, lo + i * ((hi - lo) / 50) AS edge FROM e, range(50) t(i)),
 tot AS (SELECT model, metric, count(*) AS n FROM long GROUP BY ALL), d AS (SELECT model, metric, score, count(*) AS c FROM long GROUP BY ALL),
 b AS (SELECT d.model, d.metric, d.score, d.c, max(i) AS bin, any_value((hi - lo) / 50) AS width FROM d JOIN edges x ON d.metric = x.metric AND d.score >= x.edge GROUP BY ALL)"""

@@ -44,3 +44,14 @@ def test_entry_without_the_optional_subpackage():
 
     code = "import sys; sys.modules['marginalia.llm'] = None; import __spark_entry__ as e; assert e.queries() and not any(k.startswith('p1') and k[1:2].isdigit() and '_found' in k for k in e.queries())"
     assert subprocess.run([sys.executable, "-c", code], cwd=__file__.rsplit("/tests/", 1)[0]).returncode == 0
+
+
+def written(spark, folder, table, sql):
+    spark.sql(sql).write.parquet(str(folder / f"{table}.parquet"))
+    return str(folder)
+
+
+def test_every_repository_is_reported(spark, tmp_path):
+    d = written(spark, tmp_path, "dataset", "SELECT id AS file_id, concat('r', id % 35) AS repo_name FROM range(70) UNION ALL SELECT 1, 'r1' UNION ALL SELECT 70, 'r3'")
+    rows = registry.queries()["agg18_all_items_per_repo"](spark, d).collect()
+    assert len(rows) == 35 and tuple(rows[0]) == ("r3", 3) and {r.n_items for r in rows[1:]} == {2}
