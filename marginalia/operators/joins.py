@@ -46,8 +46,11 @@ def regroup(results: DataFrame, record: Sequence[str], comment: Sequence[str], f
     return outer.withColumn("comment_generations", F.transform("g", lambda g: F.struct(*(g[c].alias(c) for c in (*comment, "results"))))).drop("g")
 
 
-def missing_numbers(present: DataFrame, column: str, upper: int) -> DataFrame:
-    """SET-2: numbers of ``range(upper)`` that do not occur."""
+def missing_numbers(present: DataFrame, column: str, upper: int | None = None) -> DataFrame:
+    """SET-2: numbers of ``range(upper)`` that do not occur, by default up to the largest that does."""
+    if upper is None:
+        largest = present.agg(F.max(F.col(column).cast("long"))).first()[0]
+        upper = 0 if largest is None else largest + 1
     every = present.sparkSession.range(upper).toDF("task_id")
     return every.join(present.select(F.col(column).cast("long").alias("task_id")), "task_id", "left_anti")
 

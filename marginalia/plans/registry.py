@@ -412,6 +412,13 @@ def part2_stride(spark, sf_dir):
     return files.groupBy((F.col("file_id") % 3).alias("task")).agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {_FILES} SELECT file_id % 3 AS task, count(*) AS n FROM files WHERE file_id IS NOT NULL GROUP BY task")
+def part2_all_stride(spark, sf_dir):
+    """PART-2 over all files; ``part2_stride`` has ORD-5's first 300 only, as its SQL does."""
+    files = _t(spark, sf_dir, "dataset").select("file_id").where("file_id IS NOT NULL").distinct()
+    return files.groupBy((F.col("file_id") % 3).alias("task")).agg(F.count("*").alias("n"))
+
+
 @query(_NEAREST + ", cand AS (SELECT l.model, l.result_id FROM cut c JOIN long l USING (model, metric) WHERE metric = 'rougeL' AND l.score <= c.threshold AND NOT starts_with(model, '<')), z AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY md5('7:' || result_id), result_id) AS i FROM cand) SELECT model, result_id FROM z WHERE i <= 20")
 def samp2_seeded_sample(spark, sf_dir):
     long = rec.unpivot_scores(rec.results(_t(spark, sf_dir, "generated_scored"), "scores"), "result_id", "model").where("metric = 'rougeL'")
@@ -425,6 +432,12 @@ def set2_missing(spark, sf_dir):
     return joins.missing_numbers(_t(spark, sf_dir, "lineitem"), "l_orderkey", 15000)
 
 
+@query("SELECT task_id FROM (SELECT unnest(range(CAST((SELECT max(l_orderkey) + 1 FROM lineitem) AS BIGINT))) AS task_id) WHERE task_id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey IS NOT NULL)")
+def set2_all_missing(spark, sf_dir):
+    """SET-2 over all numbers up to the largest; ``set2_missing`` ends at 15 000, as its SQL does."""
+    return joins.missing_numbers(_t(spark, sf_dir, "lineitem"), "l_orderkey")
+
+
 @query("SELECT full_name AS repo FROM repos_cache UNION SELECT repo FROM mined_repos UNION SELECT repo_name FROM dataset")
 def set3_all_repos(spark, sf_dir):
     frames = [_t(spark, sf_dir, t).select(F.col(c).alias("repo")) for t, c in (("repos_cache", "full_name"), ("mined_repos", "repo"), ("dataset", "repo_name"))]

@@ -55,3 +55,10 @@ def test_every_repository_is_reported(spark, tmp_path):
     d = written(spark, tmp_path, "dataset", "SELECT id AS file_id, concat('r', id % 35) AS repo_name FROM range(70) UNION ALL SELECT 1, 'r1' UNION ALL SELECT 70, 'r3'")
     rows = registry.queries()["agg18_all_items_per_repo"](spark, d).collect()
     assert len(rows) == 35 and tuple(rows[0]) == ("r3", 3) and {r.n_items for r in rows[1:]} == {2}
+
+
+def test_missing_numbers_and_stride_know_no_fixed_end(spark, tmp_path):
+    written(spark, tmp_path, "lineitem", "SELECT id AS l_orderkey FROM range(40000) WHERE id NOT IN (7, 15000, 39000) UNION ALL SELECT NULL")
+    d = written(spark, tmp_path, "dataset", "SELECT id AS file_id FROM range(1000) UNION ALL SELECT 999 UNION ALL SELECT NULL")
+    assert sorted(r.task_id for r in registry.queries()["set2_all_missing"](spark, d).collect()) == [7, 15000, 39000]
+    assert sorted(map(tuple, registry.queries()["part2_all_stride"](spark, d).collect())) == [(0, 334), (1, 333), (2, 333)]
