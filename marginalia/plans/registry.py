@@ -503,8 +503,10 @@ def txt3_greedy_cosine(spark, sf_dir):
 def code1_comment_changes(spark, sf_dir):
     """CODE-1, JOIN-6, WIN-1, WIN-4: comments of each eligible file by kind and status; files that do not tokenize apart."""
     d = widen(_t(spark, sf_dir, "dataset").where(rec.eligible_files())).select("file_id", code.changed_comments("source_code", "previous_source_code").alias("x"))
-    d = d.select("file_id", "x.error", F.explode_outer("x.comments").alias("c"))
-    return d.groupBy("file_id").agg(F.any_value(F.col("error").isNotNull()).alias("parse_error"), *(F.count_if(F.col("c.status") == s).alias(f"n_{s}") for s in ("added", "modified", "unchanged", "removed")))
+    n = lambda s: F.coalesce(F.size(F.filter("x.comments", lambda c: c["status"] == s)), F.lit(0))
+    counts = [F.greatest(n(s), F.lit(0)).cast("long").alias(f"n_{s}") for s in ("added", "modified", "unchanged", "removed")]
+    # a row's counts are those of its file, so the small result is deduplicated and no text is moved
+    return d.select("file_id", F.col("x.error").isNotNull().alias("parse_error"), *counts).where("file_id IS NOT NULL").dropDuplicates(["file_id"])
 
 
 @query()

@@ -62,3 +62,12 @@ def test_missing_numbers_and_stride_know_no_fixed_end(spark, tmp_path):
     d = written(spark, tmp_path, "dataset", "SELECT id AS file_id FROM range(1000) UNION ALL SELECT 999 UNION ALL SELECT NULL")
     assert sorted(r.task_id for r in registry.queries()["set2_all_missing"](spark, d).collect()) == [7, 15000, 39000]
     assert sorted(map(tuple, registry.queries()["part2_all_stride"](spark, d).collect())) == [(0, 334), (1, 333), (2, 333)]
+
+
+def test_comment_changes_count_a_doubled_row_once(spark, tmp_path):
+    row = "'a.py' AS new_path, 'MODIFY' AS change_type, 'm' AS commit_message, '# kept\\n# new\\nx = 1\\n\\n# more\\ny = 2\\n' AS source_code, 'x = 1\\ny = 2\\n' AS previous_source_code"
+    bad = row.replace("'# kept", "'x = \"\"\"").replace("AS source_code", "AS source_code", 1)
+    d = written(spark, tmp_path, "dataset", f"SELECT 1L AS file_id, {row} UNION ALL SELECT 1L, {row} UNION ALL SELECT 2L, {row} UNION ALL SELECT 3L, {bad}")
+    got = {r.file_id: r for r in registry.queries()["code1_comment_changes"](spark, d).collect()}
+    assert len(got) == 3 and got[1][1:] == got[2][1:] and got[1].n_added > 0 and not got[1].parse_error
+    assert tuple(got[3])[1:] == (True, 0, 0, 0, 0)
