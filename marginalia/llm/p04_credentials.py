@@ -190,6 +190,15 @@ def _literals(text: str, language: str):
         yield group
 
 
+def _offset(group: list[lexing.Piece], at: int) -> int:
+    """Where character ``at`` of the joined literals stands in the text."""
+    for p in group:
+        if at < len(p.text):
+            return p.start + at
+        at -= len(p.text)
+    raise IndexError(at)
+
+
 _WORTH = re.compile(r"[A-Za-z0-9+/=_.~\-]{6}|://|BEGIN")
 
 
@@ -215,8 +224,7 @@ def secrets(text: str, path: str | None = None) -> list[Secret]:
                 spans.append((first.start + a, first.start + b))
             continue
         if " " in body.strip():
-            if len(body) < 400:
-                spans += [(first.start + a, first.start + b) for a, b in _inline(body)]
+            spans += [(_offset(group, a), _offset(group, b - 1) + 1) for a, b in _inline(body)]
             continue
         begin = text.rfind("\n", 0, first.start) + 1
         before = text[max(begin, first.start - 160) : first.start]

@@ -245,6 +245,15 @@ def test_p4_frames(spark):
     assert p4.credential_places(df.where("false")).collect() == []
 
 
+@pytest.mark.parametrize("n", [1, 40, 4000])
+def test_long_literals_are_searched_too(n):
+    fill = "the job ran and left no note, " * n
+    for text in (f'run("{fill}password: M34dow_HpfZ and {fill}")\n', f'run("{fill}"\n    "then password: M34dow_HpfZ, {fill}")\n'):
+        found = p4.secrets(text, "a.py")
+        assert [(text[s.start : s.end], s.line) for s in found] == [("M34dow_HpfZ", 1 + text.count("\n", 0, text.index("M34dow")))]
+        assert p4.redact(text, found) == text.replace("M34dow_HpfZ", p4.MASK)
+
+
 def test_redacted_prompt_codes(spark):
     c = lambda line, code: {"comment": "c", "type": "block", "start_line": line, "end_line": line, "anchor": None, "status": "added", "prompt_code": code, "prompt": None}
     src = f'class A:\r\n    a_token = ("{SECRET[:12]}"\r\n        "{SECRET[12:]}")\r\n    password = "zrx0eimSW!"\r\n'
