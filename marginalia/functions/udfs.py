@@ -7,6 +7,7 @@ import json
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -163,6 +164,28 @@ def correlation_p(r: float | None, n: int) -> float | None:
     return incomplete_beta((n - 2) / 2, 0.5, (n - 2) / (n - 2 + t2))
 
 
+def external_scores(scorer):
+    """TXT-3, TXT-4: a column function of prediction and reference; ``scorer`` is called once per worker's stream.
+
+    It returns a function of two lists of texts that gives one score, or none, for each pair.
+    """
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        rate = None
+        for predictions, references in batches:
+            out = pd.Series([None] * len(predictions), dtype="float64")
+            at = [i for i, (p, r) in enumerate(zip(predictions, references, strict=True)) if p and r]
+            if at:
+                rate = rate or scorer()
+                got = list(rate([predictions.iloc[i] for i in at], [references.iloc[i] for i in at]))
+                if len(got) != len(at):
+                    raise ValueError(f"{len(got)} scores for {len(at)} pairs")
+                out.iloc[at] = [math.nan if x is None else float(x) for x in got]
+            yield out
+
+    return F.pandas_udf(run, T.DoubleType())
+
+
 @F.pandas_udf(T.DoubleType())
 def p_value(r: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) else correlation_p(float(a), int(b)) for a, b in zip(r, n, strict=True)], dtype="float64")

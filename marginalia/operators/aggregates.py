@@ -185,3 +185,19 @@ def array_spec(rows: DataFrame, group: Sequence[str], value: str) -> DataFrame:
 def top_k(rows: DataFrame, group: str, k: int, *order: Column) -> DataFrame:
     """ORD-3: the first ``k`` rows of each group."""
     return rows.withColumn("_k", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_k") <= k).drop("_k")
+
+
+def greedy_f1(candidate: DataFrame, reference: DataFrame, pair: str, token: str, vector: str) -> DataFrame:
+    """TXT-3: mean of each candidate token's best cosine (precision) and each reference token's (recall), and their F1.
+
+    ``pair`` says which tokens are compared; pairs without tokens on both sides give no row.
+    """
+    norm = lambda a: F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
+    a = candidate.select(pair, F.col(token).alias("i"), F.col(vector).alias("v"), norm(F.col(vector)).alias("nv"))
+    b = reference.select(pair, F.col(token).alias("j"), F.col(vector).alias("w"), norm(F.col(vector)).alias("nw"))
+    dot = F.aggregate(F.zip_with("v", "w", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    cosines = a.join(b, pair).select(pair, "i", "j", (dot / (F.col("nv") * F.col("nw"))).alias("c"))
+    rows = cosines.groupBy(pair, "i").agg(F.max("c").alias("c")).groupBy(pair).agg(F.avg("c").alias("precision"))
+    columns = cosines.groupBy(pair, "j").agg(F.max("c").alias("c")).groupBy(pair).agg(F.avg("c").alias("recall"))
+    both = F.col("precision") + F.col("recall")
+    return rows.join(columns, pair).withColumn("f1", F.when(both != 0, 2 * F.col("precision") * F.col("recall") / both))

@@ -90,11 +90,15 @@ def regroup_generations(flat: DataFrame) -> DataFrame:
     return joins.regroup(flat, ["file_id", *rec.RECORD_KEY], rec.COMMENT_KEY, ["model", "raw_response", "comment_text", "error"])
 
 
-def score(flat: DataFrame) -> DataFrame:
-    """Stage E3: TXT-1 and TXT-2 where both sides are scorable, null scores elsewhere (FIL-18)."""
+def score(flat: DataFrame, scorer: Callable[[], Callable[[list[str], list[str]], Sequence[float | None]]] | None = None) -> DataFrame:
+    """Stage E3: TXT-1 to TXT-3 where both sides are scorable, null scores elsewhere (FIL-18).
+
+    ``scorer`` gives ``bertscore_f1``, see ``udfs.external_scores``; without one it stays null.
+    """
     ok = rec.is_scorable(F.col("error"), F.col("comment_text"), F.col("comment"))
-    s = udfs.pair_scores(F.when(ok, text.normalize_comment("comment_text")), F.when(ok, text.normalize_comment("comment")))
-    return flat.withColumn("s", s).withColumn("scores", F.when(ok, F.struct("s.bleu1", "s.bleu2", "s.bleu3", "s.bleu4", "s.rougeL", F.lit(None).cast("double").alias("bertscore_f1")))).drop("s")
+    pair = F.when(ok, text.normalize_comment("comment_text")), F.when(ok, text.normalize_comment("comment"))
+    f1 = udfs.external_scores(scorer)(*pair) if scorer else F.lit(None).cast("double")
+    return flat.withColumn("s", udfs.pair_scores(*pair)).withColumn("f1", f1).withColumn("scores", F.when(ok, F.struct("s.bleu1", "s.bleu2", "s.bleu3", "s.bleu4", "s.rougeL", F.nanvl("f1", F.lit(None).cast("double")).alias("bertscore_f1")))).drop("s", "f1")
 
 
 def sample_items(generated: DataFrame, metric: str, fraction: float, total: int, seed: int = 0) -> DataFrame:

@@ -487,7 +487,7 @@ def txt1_pair_scores(spark, sf_dir):
 s AS (SELECT q.vec_id AS query_id, e.label, list_cosine_similarity(q.v, e.v) AS c FROM q, e), best AS (SELECT query_id, label, max(c) AS top FROM s GROUP BY ALL)
 SELECT query_id, label, round(top, 6) AS best_cosine FROM best""")
 def txt3_greedy_cosine(spark, sf_dir):
-    """TXT-3's matching step: each query vector's best cosine in every label, against all vectors in blocks."""
+    """TXT-3's matching step: each query vector's best cosine in every label, against all vectors; the F1 is ``txt3_greedy_f1``."""
     e = _t(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("w"))
     norm = lambda a: F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
@@ -496,6 +496,16 @@ def txt3_greedy_cosine(spark, sf_dir):
     return pairs.groupBy("query_id", "label").agg(F.round(F.max("c"), 6).alias("best_cosine"))
 
 
+@query("""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), s AS (SELECT a.label, a.vec_id AS i, b.vec_id AS j, list_cosine_similarity(a.v, b.v) AS c FROM e a JOIN e b ON a.label = b.label WHERE a.vec_id % 2 = 0 AND b.vec_id % 2 = 1),
+p AS (SELECT label, avg(m) AS p FROM (SELECT label, i, max(c) AS m FROM s GROUP BY ALL) GROUP BY label), r AS (SELECT label, avg(m) AS r FROM (SELECT label, j, max(c) AS m FROM s GROUP BY ALL) GROUP BY label)
+SELECT label, round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / (p + r), 6) AS f1 FROM p JOIN r USING (label)""")
+def txt3_greedy_f1(spark, sf_dir):
+    """TXT-3's formula: in each label the even vectors are the candidate's tokens, the odd ones the reference's."""
+    e = _t(spark, sf_dir, "embeddings").select("label", "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    got = agg.greedy_f1(e.where("vec_id % 2 = 0"), e.where("vec_id % 2 = 1"), "label", "vec_id", "v")
+    return got.select("label", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
+
+
 # ---- source code
 
 

@@ -1,4 +1,4 @@
-"""Repository search and model completions as sources with an injected transport (SRC-14 to SRC-23, DATE-1)."""
+"""Repository search and model completions as sources with an injected transport (SRC-14 to SRC-16, SRC-21, SRC-22, DATE-1)."""
 
 from __future__ import annotations
 

@@ -121,3 +121,10 @@ def test_reports():
     assert reports.with_comment("  # Add the comment here\nx", "# a\n# b", "block") == "  # a\n  # b\nx"
     assert reports.with_comment("y  # Add the comment here", "# a\n# b", "inline") == "y  # a # b"
     assert "–" in reports.report("t", [{"n": 0, "m": "x"}])
+
+
+def test_greedy_f1(spark):
+    a = spark.createDataFrame([("x", 1, [1.0, 0.0]), ("x", 2, [0.0, 2.0]), ("y", 1, [1.0, 0.0])], "p string, t int, v array<double>")
+    b = spark.createDataFrame([("x", 1, [3.0, 0.0])], a.schema)
+    got = agg.greedy_f1(a, b, "p", "t", "v").collect()
+    assert len(got) == 1 and (got[0].precision, got[0].recall, got[0].f1) == (0.5, 1.0, pytest.approx(2 / 3))

@@ -58,3 +58,11 @@ def test_task_numbers():
         pipelines.task_assignment(6, 3, ["A", "B"])
     with pytest.raises(ValueError):
         pipelines.task_counts(1, 0)
+
+
+def test_scorer_fills_the_embedding_score(spark):
+    rows = [(1, "# keep it", "# keep it", None), (2, "# drop", "# keep it", None), (3, None, "# keep it", "failed")]
+    flat = spark.createDataFrame(rows, "id long, comment_text string, comment string, error string")
+    scorer = lambda: lambda p, r: [0.5 if a == b else None for a, b in zip(p, r, strict=True)]
+    got = {r.id: r.scores for r in pipelines.score(flat, scorer).collect()}
+    assert got[1].bertscore_f1 == 0.5 and got[2].bertscore_f1 is None and got[2].rougeL is not None and got[3] is None
