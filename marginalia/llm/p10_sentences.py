@@ -1,9 +1,9 @@
 """Problem 10: sentence boundaries across languages and scripts.
 
 A text is cut into blocks: headings and list items are one unit each, text in code fences holds none, blank lines
-end a paragraph.  In a paragraph a semi-Markov dynamic programme selects whole spans between possible ends; a span
-is scored by its length, the word it opens with, the word it closes with and whether quotations and brackets are
-balanced in it, jointly.  Possible ends are final marks (with closing quotes) before white space, the final marks of
+end a paragraph.  In a paragraph a semi-Markov dynamic programme selects whole spans between possible ends; each end
+is scored once, by the words on both sides of it and whether it lies inside a quotation or bracket of the paragraph; a
+span itself only by its length, so the search nearly reduces to those scores.  Possible ends are final marks (with closing quotes) before white space, the final marks of
 scripts without spaces, and in Thai a space between Thai letters.
 
 Defined cases: null, empty and blank texts give no rows; an unclosed fence holds the rest of the text; offsets count
