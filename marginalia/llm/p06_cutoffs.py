@@ -1,9 +1,12 @@
 """Problem 6: the score cut-off per model and metric that keeps a target share of the results.
 
-Every target's convex pinball loss is minimised by cutting planes: losses and subgradients at a few points per
-target are aggregated in one pass over all rows, the tangents at both ends of the bracket give the next point
-(with a few evenly spaced ones as a safeguard), and the bracket's ends snap to the exact neighbouring scores.  A pass brings a
-handful of numbers per target to the driver; it ends when a score is proven to be the wanted order statistic.
+Every target's convex pinball loss is minimised by cutting planes.  A pass over all rows aggregates, for each part
+of the line between the points asked, count, sum and both extremes; that gives the loss and its two subgradients at
+every point.  The tangents at the ends of the bracket make the model of the loss: its minimiser, where they meet, is
+the next point, and the model's level sets between its minimum and the best loss so far give six more, so that a
+pass narrows the bracket from both sides.  The ends need no look of their own: a tangent holds until the neighbouring
+score, to which the end snaps.  A pass brings a handful of numbers per target to the driver; it ends when a score is
+proven to be the wanted order statistic.
 
 Defined cases: a null or empty model counts as ``<unknown>``; null and NaN scores and null ids are left out;
 results delivered twice count once; a target without results has a null cut-off and keeps none; ties are kept
@@ -13,6 +16,7 @@ whole; keep_pct 0 keeps the lowest score.
 from __future__ import annotations
 
 import math
+import sys
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,7 +29,9 @@ from .common import table
 METRICS = ("bleu1", "bleu2", "bleu3", "bleu4", "rougeL", "bertscore_f1")
 MAX_TARGETS = 100_000
 UNKNOWN = "<unknown>"
-SAFEGUARD = 7
+LARGEST = sys.float_info.max
+LEVELS = (0.1, 0.3, 0.6)  # of the way from the model's minimum to the best loss seen
+POINTS = 1 + 2 * len(LEVELS)
 
 
 def scored_results(generated: DataFrame) -> DataFrame:
@@ -44,41 +50,62 @@ def _targets(keep_targets: DataFrame) -> list[tuple[int, str, str, int]]:
 
 
 class _Bracket:
-    """What is known of one target: the wanted rank and the scores between which it lies."""
+    """What is known of one target: the wanted rank, and the scores between which it lies.
 
-    def __init__(self, n: int, low: float, high: float, percent: int) -> None:
-        self.n, self.percent = n, percent
+    ``left`` and ``right`` hold an end of the bracket, the loss there and the slope towards the inside.
+    """
+
+    def __init__(self, n: int, low: float, high: float, total: float, percent: int) -> None:
+        self.n, self.tau, self.total = n, percent / 100, total
         self.rank = max(1, -(-percent * n // 100))
-        self.low, self.high = low, high
-        self.planes: dict[float, tuple[float, float, float]] = {}  # point: loss, left and right slope
         self.cutoff: float | None = None
-        self.kept = 0
+        self.kept = self.passes = 0
+        self._narrow(0, 0.0, n, total, low, high)
+
+    def _narrow(self, below: int, sum_below: float, count: int, total: float, least: float, greatest: float) -> None:
+        """The wanted score is one of ``count`` between ``least`` and ``greatest``."""
+        if self.rank == below + count or least == greatest:
+            self.cutoff, self.kept = greatest, below + count
+            return
+        self.below, self.under = below, sum_below
+        ends = []
+        for q, n, under in ((least, below, sum_below), (greatest, below + count, sum_below + total)):
+            loss = (1 - self.tau) * (q * n - under) + self.tau * (self.total - under - q * (self.n - n))
+            ends.append((q, loss, (1 - self.tau) * n - self.tau * (self.n - n)))
+        self.left, self.right = ends
 
     def points(self) -> list[float]:
-        """Where to look next: the ends, the tangents' meeting point and points that part the bracket evenly."""
-        out = {self.low, self.high} - self.planes.keys()
-        a, b = self.planes.get(self.low), self.planes.get(self.high)
-        if a and b and math.isfinite(a[0]) and math.isfinite(b[0]) and b[1] != a[2]:
-            meet = (a[0] - b[0] + b[1] * self.high - a[2] * self.low) / (b[1] - a[2])
-            if self.low < meet < self.high:
-                out.add(meet)
-        for k in range(1, SAFEGUARD + 1):
-            inner = self.low + (self.high - self.low) * k / (SAFEGUARD + 1)
-            if self.low < inner < self.high:
-                out.add(inner)
-        return sorted(out)
-
-    def learn(self, q: float, below: int, equal: int, sum_below: float, sum_above: float, before: float | None, after: float | None) -> None:
-        above = self.n - below - equal
-        tau = self.percent / 100
-        loss = tau * (sum_above - q * above) + (1 - tau) * (q * below - sum_below)
-        self.planes[q] = (loss, (1 - tau) * below - tau * (above + equal), (1 - tau) * (below + equal) - tau * above)
-        if below < self.rank <= below + equal:
-            self.cutoff, self.kept = q, below + equal
-        elif self.rank <= below and before is not None:
-            self.high = min(self.high, before)
-        elif after is not None:
-            self.low = max(self.low, after)
+        """Where to look next: where the ends' tangents meet, and the model's level sets around it."""
+        (a, fa, ga), (b, fb, gb) = self.left, self.right
+        if not (math.isfinite(a) and math.isfinite(b)):
+            return [-LARGEST] + [LARGEST] * (POINTS - 1)
+        least = (fa - fb + gb * b - ga * a) / (gb - ga)
+        floor = fa + ga * (least - a)
+        levels = [floor + share * (min(fa, fb) - floor) for share in LEVELS]
+        out = [least, *(a + (v - fa) / ga for v in levels if ga < 0), *(b + (v - fb) / gb for v in levels if gb > 0)]
+        out = sorted({q for q in out if a <= q <= b}) or [a / 2 + b / 2]  # sums that overflow give no tangents
+        return out + out[-1:] * (POINTS - len(out))
+
+    def learn(self, parts: dict[int, tuple[int, float, float, float]]) -> None:
+        """``parts`` has count, sum, least and greatest of the bracket's scores in each part that has any: 2k lies before point k, 2k + 1 on it."""
+        self.passes += 1
+        below, under = self.below, self.under
+        for k in sorted(parts):
+            count, total = parts[k][:2]
+            if self.rank <= below + count:
+                self._narrow(below, under, *parts[k])
+                return
+            below, under = below + count, under + total
+
+
+def _finite_sum():
+    return F.sum(F.when(F.abs("score") <= LARGEST, F.col("score")).otherwise(0.0))
+
+
+def _part(n: int):
+    """The part of the line in which ``score`` lies, for ``n`` points: parts before, on and behind each, in order."""
+    s = F.col("score")
+    return sum(((s > F.get("points", F.lit(k))).cast("int") + (s >= F.get("points", F.lit(k))).cast("int") for k in range(n)), F.lit(0))
 
 
 def cutoffs(generated: DataFrame, keep_targets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -90,23 +117,21 @@ def cutoffs(generated: DataFrame, keep_targets: DataFrame) -> tuple[DataFrame, D
     scores = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(f"scores.{m}").alias("score")) for m in wanted or METRICS))
     long = scored_results(generated).select("result_id", "model", F.inline(scores))
     long = long.where(F.col("score").isNotNull() & ~F.isnan("score"))
-    rows = long.join(F.broadcast(local), ["model", "metric"]).select("t", "model", "metric", "result_id", "score")
+    rows = long.join(F.broadcast(local), ["model", "metric"]).select("t", "model", "metric", "result_id", "score")  # MAX_TARGETS rows at most
     folder = f"{checkpoint_dir(spark)}/cutoffs-{uuid.uuid4().hex}"
     rows.write.parquet(folder)
     rows = spark.read.schema("t int, model string, metric string, result_id long, score double").parquet(folder)
 
-    ends = rows.groupBy("t").agg(F.count("*").alias("n"), F.min("score").alias("low"), F.max("score").alias("high")).collect()
-    state = {r.t: _Bracket(r.n, r.low, r.high, targets[r.t][3]) for r in ends}
-    while True:
-        asked = [(t, q) for t, b in state.items() if b.cutoff is None for q in b.points()]
-        if not asked:
-            break
-        at = F.broadcast(spark.createDataFrame(asked, "t int, q double"))
-        s, q = F.col("score"), F.col("q")
-        seen = rows.join(at, "t").groupBy("t", "q")
-        seen = seen.agg(F.count_if(s < q), F.count_if(s == q), F.sum(F.when(s < q, s)), F.sum(F.when(s > q, s)), F.max(F.when(s < q, s)), F.min(F.when(s > q, s)))
-        for r in seen.collect():
-            state[r[0]].learn(r[1], r[2], r[3], r[4] or 0.0, r[5] or 0.0, r[6], r[7])
+    ends = rows.groupBy("t").agg(F.count("*").alias("n"), F.min("score").alias("low"), F.max("score").alias("high"), _finite_sum().alias("total")).collect()
+    state = {r.t: _Bracket(r.n, r.low, r.high, r.total, targets[r.t][3]) for r in ends}
+    while asked := [(t, b.left[0], b.right[0], b.points()) for t, b in state.items() if b.cutoff is None]:
+        at = F.broadcast(spark.createDataFrame(asked, "t int, low double, high double, points array<double>"))  # POINTS for each of MAX_TARGETS at most
+        seen = rows.join(at, "t").where("score BETWEEN low AND high").select("t", "score", _part(POINTS).alias("part")).groupBy("t", "part")
+        parts: dict[int, dict[int, tuple]] = {}
+        for r in seen.agg(F.count("*"), _finite_sum(), F.min("score"), F.max("score")).collect():
+            parts.setdefault(r[0], {})[r[1]] = tuple(r[2:])
+        for t, *_ in asked:
+            state[t].learn(parts[t])
     out = []
     for t, model, metric, percent in targets:
         b = state.get(t)

@@ -1,18 +1,21 @@
 """Problem 10: sentence boundaries across languages and scripts.
 
 A text is cut into blocks: headings and list items are one unit each, text in code fences holds none, blank lines
-end a paragraph.  In a paragraph a semi-Markov dynamic programme selects whole spans between possible ends; each end
-is scored once, by the words on both sides of it and whether it lies inside a quotation or bracket of the paragraph; a
-span itself only by its length, so the search nearly reduces to those scores.  Possible ends are final marks (with closing quotes) before white space, the final marks of
-scripts without spaces, and in Thai a space between Thai letters.
+end a paragraph.  In a paragraph a semi-Markov dynamic programme selects whole spans between possible ends: final
+marks (with closing quotes) before white space, the final marks of scripts without spaces, and in Thai a space
+between Thai letters.  A span is scored as a whole: its length; its closing word and mark; its opening word; the
+quotations and brackets it opens, which have to close within it; and the final marks it holds, which cost nothing
+inside a quotation or bracket that the span itself closes and are charged otherwise.
 
-Defined cases: null, empty and blank texts give no rows; an unclosed fence holds the rest of the text; offsets count
-code points; very long texts are treated whole; repeated texts come out per document.
+The search is linear in the marks (see ``_spans``).  Defined cases: null, empty and blank texts give no rows; an
+unclosed fence holds the rest of the text; a quotation of more than ``QUOTE_WORDS`` words counts as unclosed, and
+behind it its span heeds no others; offsets count code points; very long texts are treated whole; repeated texts come out per document.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,130 +43,184 @@ _EMOJI = "[\U0001f000-\U0001faff☀-➿️‍⬀-⯿]"
 _NEXT = re.compile(rf"(?:\s|{_EMOJI})*([\"'“„«»‹「『(\[（¿¡—–\-`*_]*)\s?(\w[\w.\-]*|[^\w\s]|$)")
 _LAST = re.compile(r"([^\s\"'“„«»(\[（]+)$")
 _PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "「": "」", "『": "』", "《": "》", "【": "】", "«": "»", "‹": "›", "“": "”", "„": "“"}
-_ENDS = {v: k for k, v in _PAIRS.items()}
-SKIP_LIMIT = 60.0
+_ENDS = {v: k for k, v in _PAIRS.items() if v != "“"}
+_DELIMITER = re.compile("[\"`'" + re.escape("".join(_PAIRS) + "".join(_PAIRS.values())) + "]")
+# Scores.  A span pays ONE_WORD when it is that short and LONG for each word beyond MANY_WORDS; UNCLOSED when it leaves a
+# quotation or bracket open, STRAY when it closes one that another span has opened.
+ONE_WORD, LONG, MANY_WORDS = -0.4, -0.3, 80
+UNCLOSED, STRAY = -8.0, -4.0
+QUOTE_WORDS = 400
+WORST = 24.0  # no boundary costs more, a quotation left open by it included
 
 
-def _inside(text: str) -> list[tuple[int, int]]:
-    """(start, end) of every quotation or bracket that closes within ``text``."""
-    stack: list[tuple[str, int]] = []
+def _events(text: str) -> list[tuple[int, str, str]]:
+    """(offset, kind, role) of quotes and brackets: what each may do by the characters beside it.
+
+    Role ``(`` opens, ``)`` closes, ``|`` does either; whether it closes anything is seen within a span.
+    """
     found = []
     n = len(text)
-    for i, c in enumerate(text):
-        if c == "`" or c == '"':
-            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == c), None)
-            opens = (i == 0 or text[i - 1] in " \t\n\xa0(（[「『—–" or not text[i - 1].isascii()) and i + 1 < n and not text[i + 1].isspace()
-            if at is not None and not (opens and (i == 0 or text[i - 1].isspace())):
-                found.append((stack[at][1], i))
-                del stack[at:]
-            elif opens:
-                stack.append((c, i))
+    for m in _DELIMITER.finditer(text):
+        i = m.start()
+        c = text[i]
+        before, after = text[i - 1] if i else " ", text[i + 1] if i + 1 < n else " "
+        if c in '"`':
+            opens = (before in " \t\n\xa0(（[「『—–" or not before.isascii()) and i + 1 < n and not after.isspace()
+            found.append((i, c, "(" if opens and before.isspace() else "|" if opens else ")"))
         elif c == "'":
-            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == c), None)
-            after = text[i + 1] if i + 1 < n else " "
-            if at is not None and i and not text[i - 1].isspace() and not (after.isascii() and after.isalnum()):
-                found.append((stack[at][1], i))
-                del stack[at:]
-            elif (i == 0 or text[i - 1] in " \t\n\xa0(") and after.isalnum():
-                stack.append((c, i))
-        elif c == "“" and any(s[0] == "„" for s in stack):
-            at = max(k for k in range(len(stack)) if stack[k][0] == "„")
-            found.append((stack[at][1], i))
-            del stack[at:]
-        elif c in _ENDS and any(s[0] == _ENDS[c] for s in stack):
-            at = max(k for k in range(len(stack)) if stack[k][0] == _ENDS[c])
-            found.append((stack[at][1], i))
-            del stack[at:]
-        elif c in _PAIRS:
-            stack.append((c, i))
+            if before in " \t\n\xa0(" and after.isalnum():
+                found.append((i, c, "("))
+            elif not before.isspace() and not (after.isascii() and after.isalnum()):
+                found.append((i, c, ")"))
+        elif c == "“":
+            found.append((i, c, "|"))
+        elif c in _ENDS:
+            found.append((i, _ENDS[c], ")"))
+        else:
+            found.append((i, c, "("))
     return found
 
 
+def _closing(text: str, begin: int, end: int, word: str) -> float:
+    """How well a span ends with the mark at ``begin:end``, by the mark, the word before it and the ``word`` behind."""
+    mark = text[begin:end]
+    core = mark.rstrip(_CLOSERS + " \t\xa0")
+    score = 1.5 if core == "." else 0.5 if core in ("...", "…", "..", "....") else 2.0
+    if mark != "." and mark.strip(". \t\xa0\n") or core != ".":
+        return score
+    last = _LAST.search(text, max(0, begin - 40), begin)
+    held = last.group(1) if last else ""
+    before = held.lower()
+    if re.fullmatch(r"[^\W\d_]", before) and (held.isupper() or before in NEVER_LAST):
+        return score - 6.0
+    if before in MAY_BE_LAST:
+        return score - 1.0
+    if (before in NEVER_LAST and not (before in CAPITAL_ONLY and held[0].islower())) or before.endswith("-d"):
+        return score - 6.0
+    if re.fullmatch(r"[^\W\d_](?:\.[^\W\d_])+", before):
+        return score - 2.0
+    if before.isdigit() and len(before) <= 2 and word.lower() in MONTHS:
+        return score - 8.0
+    return score - 3.0 if re.fullmatch(r"\d+|[ivxlc]+", before) and word[:1].islower() else score
+
+
+def _opening(text: str, mark: str, at: int, opened: str, word: str) -> float:
+    """How well a span begins with ``word``, which stands at ``at`` behind the marks ``opened``, after ``mark``."""
+    core = mark.rstrip(_CLOSERS + " \t\xa0")
+    first = word[:1]
+    if not word:
+        return 1.0
+    if opened[:1] and opened[0] in "—–-" and not first.isupper():
+        return -5.0
+    if not first.isalnum() and first != "_":
+        return -6.0 if first in ",;:.!?)]…»" else -0.5
+    if first.islower() and first.lower() != first.upper():
+        named = "_" in word or re.match(r"\w+(?:\.\w+|\()", text[at : at + 60]) is not None
+        return 0.0 if "`" in opened or (named and core != "...") else -5.0
+    if mark.rstrip() != core and first.lower() == first.upper() and not first.isdigit():
+        return -3.0  # no case tells whether the clause goes on after the quotation, as it mostly does
+    return 1.0
+
+
 def _gain(text: str, begin: int, end: int) -> float:
-    """How well the mark at ``begin:end`` ends a sentence, by the words around it."""
+    """How well the mark at ``begin:end`` parts two spans by the words on both sides, quotations aside."""
     mark = text[begin:end]
     if mark[0] in "。！？｡":
         return 3.0
     if mark.isspace():
         return 2.0
-    core = mark.rstrip(_CLOSERS + " \t\xa0")
-    if core == "…" and end < len(text) and not text[end : end + 1].isspace():
+    if mark.rstrip(_CLOSERS + " \t\xa0") == "…" and end < len(text) and not text[end : end + 1].isspace():
         return -6.0
-    score = 1.5 if core == "." else 0.5 if core in ("...", "…", "..", "....") else 2.0
     m = _NEXT.match(text, end)
-    opened, word = m.group(1), m.group(2)
-    first = word[:1]
-    if not word:
-        score += 1.0
-    elif opened[:1] and opened[0] in "—–-" and not first.isupper():
-        score -= 5.0
-    elif not first.isalnum() and first != "_":
-        score -= 6.0 if first in ",;:.!?)]…»" else 0.5
-    elif first.islower() and first.lower() != first.upper():
-        named = "_" in word or re.match(r"\w+(?:\.\w+|\()", text[m.start(2) : m.start(2) + 60]) is not None
-        score += 0.0 if "`" in opened or (named and core != "...") else -5.0
-    elif mark.rstrip() != core and first.lower() == first.upper() and not first.isdigit():
-        score -= 3.0  # no case tells whether the clause goes on after the quotation, as it mostly does
-    else:
-        score += 1.0
-    if core == ".":
-        last = _LAST.search(text, max(0, begin - 40), begin)
-        before = last.group(1).lower() if last else ""
-        if mark == "." or not mark.strip(". \t\xa0\n"):
-            if re.fullmatch(r"[^\W\d_]", before) and (last.group(1).isupper() or before in NEVER_LAST):
-                score -= 6.0
-            elif before in MAY_BE_LAST:
-                score -= 1.0
-            elif (before in NEVER_LAST and not (before in CAPITAL_ONLY and last.group(1)[0].islower())) or (before.rpartition("-")[2] in ("d",) and "-" in before):
-                score -= 6.0
-            elif re.fullmatch(r"[^\W\d_](?:\.[^\W\d_])+", before):
-                score -= 2.0
-            elif before.isdigit() and len(before) <= 2 and word.lower() in MONTHS:
-                score -= 8.0
-            elif re.fullmatch(r"\d+|[ivxlc]+", before) and first.islower():
-                score -= 3.0
-    return score
+    return _closing(text, begin, end, m.group(2)) + _opening(text, mark, m.start(2), m.group(1), m.group(2))
+
+
+def _length(n: int) -> float:
+    return ONE_WORD if n < 2 else LONG * (n - MANY_WORDS) if n > MANY_WORDS else 0.0
+
+
+class _Quotes:
+    """The quotations and brackets of one span, and the final marks they hold."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int, float]] = []  # kind, words before it, gains held when it opened
+        self.held = 0.0  # gains of the marks inside what is open
+        self.lost = 0.0
+        self.plain = False  # something was open for too long: nothing opens any more
+        self.kinds: Counter[str] = Counter()
+
+    def read(self, kind: str, role: str, words: int) -> None:
+        wanted = ("„", "“") if kind == "“" else (kind,)
+        if role != "(" and any(self.kinds[w] for w in wanted):
+            opened = ""
+            while opened not in wanted:
+                opened, _, self.held = self.stack.pop()
+                self.kinds[opened] -= 1
+        elif role == ")":
+            self.lost += STRAY * (kind != "'")
+        elif not self.plain:
+            self.stack.append((kind, words, self.held))
+            self.kinds[kind] += 1
+
+    def expire(self, words: int) -> None:
+        if self.stack and words - self.stack[0][1] > QUOTE_WORDS:
+            self.lost += UNCLOSED - self.held
+            self.stack.clear()
+            self.kinds.clear()
+            self.held, self.plain = 0.0, True
+
+    def cost(self) -> float:
+        """Of a span that ends here."""
+        return self.lost + (UNCLOSED - self.held if self.stack else 0.0)
 
 
 def _spans(text: str) -> list[tuple[int, int]]:
-    """The sentences of one paragraph as offsets in it."""
-    marks = [(m.start(), m.end()) for m in _END.finditer(text)]
+    """The sentences of one paragraph as offsets in it: the sequence of spans with the greatest total score.
+
+    From each start, spans are tried up to the first end behind which none can belong to the best sequence: once a
+    mark outside the span's quotations gains more than two short spans lose, cutting there is better whatever follows
+    (the spans behind it see the same quotations); the same holds for any such mark with enough words on both sides
+    of it that the length saved outweighs the worst boundary.
+    """
+    size = len(text.rstrip())
+    marks = [(m.start(), m.end()) for m in _END.finditer(text) if m.end() < size]
     if not marks:
         return [(0, len(text))]
-    inside = sorted(_inside(text))
-    depth_at, k, open_ends = [], 0, []
-    for begin, end in marks:  # an end lies inside a quotation that opened before it and closes after it
-        while k < len(inside) and inside[k][0] < begin:
-            open_ends.append(inside[k][1])
-            k += 1
-        open_ends = [e for e in open_ends if e >= end]
-        depth_at.append(len(open_ends))
-    cuts, gains = [0], [0.0]
-    for (begin, end), depth in zip(marks, depth_at, strict=True):
-        if not text[end:].strip() and end >= len(text.rstrip()):
-            break
-        cuts.append(end)
-        gains.append(_gain(text, begin, end) - (8.0 if depth else 0.0))
-    cuts.append(len(text))
-    gains.append(0.0)
-    words = [len(text[a:b].split()) or 1 for a, b in zip(cuts, cuts[1:], strict=False)]
+    gains = [_gain(text, a, b) for a, b in marks]
+    cuts = [0, *(b for _, b in marks), len(text)]
+    last = len(cuts) - 1
     total = [0]
-    for w in words:
-        total.append(total[-1] + w)
-    best = [0.0] + [float("-inf")] * (len(cuts) - 1)
-    back = [0] * len(cuts)
-    for j in range(1, len(cuts)):
-        skipped = 0.0
-        for i in range(j - 1, -1, -1):
-            n = total[j] - total[i]
-            span = -0.4 if n < 2 else -0.3 * (n > 80)
-            value = best[i] + gains[j] + span
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        total.append(total[-1] + (len(text[a:b].split()) or 1))
+    inside: list[list[tuple[int, str, str]]] = [[] for _ in range(last)]
+    k = 0
+    for event in _events(text):
+        while event[0] >= cuts[k + 1]:
+            k += 1
+        inside[k].append(event)
+    apart = int(WORST / -LONG) + MANY_WORDS
+    best = [0.0] + [float("-inf")] * last
+    back = [0] * (last + 1)
+    for i in range(last):
+        quotes, held, safe = _Quotes(), 0.0, -1
+        for j in range(i + 1, last + 1):
+            for _, kind, role in inside[j - 1]:
+                quotes.read(kind, role, total[j - 1])
+            words = total[j] - total[i]
+            quotes.expire(total[j])
+            gain = gains[j - 1] if j < last else 0.0
+            value = best[i] + _length(words) + quotes.cost() - held + min(0.0, gain)
             if value > best[j]:
                 best[j], back[j] = value, i
-            skipped += max(0.0, gains[i])  # leaving out this much cannot be made good any more
-            if skipped > SKIP_LIMIT:
+            if quotes.stack:
+                quotes.held += max(0.0, gain)
+                continue
+            if gain > -2 * ONE_WORD or (safe >= 0 and total[j] - safe >= apart):
                 break
-    out, j = [], len(cuts) - 1
+            held += max(0.0, gain)
+            if safe < 0 and words >= apart:
+                safe = total[j]
+    out, j = [], last
     while j:
         out.append((cuts[back[j]], cuts[j]))
         j = back[j]

@@ -121,6 +121,43 @@ def test_cutoffs_against_sorting(spark, seed):
             assert r.cutoff == 0.5 and r.n_kept == r.n_results
 
 
+def searched(values, percent):
+    """Cut-off, kept number and passes of the search over one target, its aggregates taken with numpy."""
+    finite = lambda v: float(v[np.isfinite(v)].sum())
+    b = p6._Bracket(len(values), float(values.min()), float(values.max()), finite(values), percent)
+    while b.cutoff is None:
+        inside = values[(values >= b.left[0]) & (values <= b.right[0])]
+        part = sum((inside > q).astype(int) + (inside >= q) for q in b.points())
+        b.learn({int(k): (int((part == k).sum()), finite(inside[part == k]), float(inside[part == k].min()), float(inside[part == k].max())) for k in np.unique(part)})
+        assert b.passes < 60
+    return b.cutoff, b.kept, b.passes
+
+
+@pytest.mark.parametrize("percent", [1, 20, 50, 90, 100])
+@pytest.mark.parametrize("kind", ["normal", "lognormal", "pareto", "ties", "outliers", "infinite", "two values"])
+def test_few_passes(kind, percent):
+    rng = np.random.default_rng(5)
+    v = rng.random(20_000)
+    v = {
+        "normal": rng.normal(size=20_000), "lognormal": rng.lognormal(0, 2, 20_000), "pareto": rng.pareto(0.5, 20_000), "ties": np.round(v, 2), "outliers": np.append(v, [1e12, -1e12]),
+        "infinite": np.append(v, [np.inf, -np.inf]), "two values": (v > 0.3).astype(float),
+    }[kind]
+    cutoff, kept, passes = searched(v, percent)
+    assert cutoff == np.sort(v)[max(1, -(-percent * len(v) // 100)) - 1] and kept == (v <= cutoff).sum() and passes <= 10
+
+
+def test_the_next_point_minimises_the_model():
+    """The tangents meet at the mean of the bracket's scores, and the loss there is no less than the model's."""
+    v = np.random.default_rng(6).gamma(2.0, size=500)
+    b = p6._Bracket(len(v), v.min(), v.max(), v.sum(), 30)
+    (a, fa, ga), (c, fc, gc) = b.left, b.right
+    meet = (fa - fc + gc * c - ga * a) / (gc - ga)
+    loss = lambda q: float(np.where(v > q, 0.3 * (v - q), 0.7 * (q - v)).sum())
+    assert meet == pytest.approx(v.mean()) and fa == pytest.approx(loss(a)) and fc == pytest.approx(loss(c))
+    for q in np.linspace(v.min(), v.max(), 40):
+        assert max(fa + ga * (q - a), fc + gc * (q - c)) <= loss(q) + 1e-9
+
+
 def test_no_results_and_no_targets(spark):
     df = spark.createDataFrame([], SCORED)
     t = spark.createDataFrame([("a", "rougeL", 10)], "model string, metric string, keep_pct int")

@@ -381,6 +381,64 @@ def test_spans_are_ordered_and_lose_nothing():
         assert all(text[a:b] == text[a:b].strip() for a, b in spans)
 
 
+def exhaustive(text):
+    """The greatest score of any sequence of spans, each scored alone, and that of the spans found."""
+    size = len(text.rstrip())
+    marks = [(m.start(), m.end()) for m in p10._END.finditer(text) if m.end() < size]
+    gains = [p10._gain(text, a, b) for a, b in marks]
+    cuts = [0, *(b for _, b in marks), len(text)]
+    words = [len(text[a:b].split()) or 1 for a, b in zip(cuts, cuts[1:], strict=False)]
+    events = p10._events(text)
+
+    def score(i, j):
+        quotes, swallowed = p10._Quotes(), 0.0
+        for k in range(i, j):
+            for at, kind, role in events:
+                if cuts[k] <= at < cuts[k + 1]:
+                    quotes.read(kind, role, sum(words[:k]))
+            quotes.expire(sum(words[: k + 1]))
+            if k + 1 < j:
+                if quotes.stack:
+                    quotes.held += max(0.0, gains[k])
+                else:
+                    swallowed += max(0.0, gains[k])
+        return p10._length(sum(words[i:j])) + quotes.cost() - swallowed + (min(0.0, gains[j - 1]) if j <= len(gains) else 0.0)
+
+    best = [0.0]
+    for j in range(1, len(cuts)):
+        best.append(max(best[i] + score(i, j) for i in range(j)))
+    at = {c: k for k, c in enumerate(cuts)}
+    return best[-1], sum(score(at[a], at[b]) for a, b in p10._spans(text))
+
+
+def test_the_search_is_exact():
+    rng = random.Random(8)
+    pool = ["He wrote. ", 'He said "go. ', 'Then left." ', "(see a. ", "B is so.) ", "no end. ", "Dr. ", "Why? ", "’tis ", "word " * 30, "a b. " * 15, "「好。", "行」。", '" ', "5 p.m. "]
+    for _ in range(150):
+        best, found = exhaustive("".join(rng.choice(pool) for _ in range(rng.randint(1, 14))))
+        assert found == pytest.approx(best)
+
+
+def test_spans_are_judged_as_wholes():
+    """The same marks part sentences or not, by what the span that holds them opens and closes."""
+    assert cut('He wrote "Go. Stop. Wait." and left. Then.') == ['He wrote "Go. Stop. Wait." and left.', "Then."]
+    assert cut('He wrote "Go. Stop. Wait. And left. Then.') == ['He wrote "Go.', "Stop.", "Wait.", "And left.", "Then."]
+    assert cut("It (see A. Then B.) ran. On.") == ["It (see A. Then B.) ran.", "On."]
+
+
+@pytest.mark.parametrize("piece", ["a word x. ", "(see a. ", '"Go on. ', "Wow. ", "(" * 50 + "] a. "])
+def test_time_is_linear_in_the_marks(piece):
+    import time
+
+    def took(n):
+        began = time.perf_counter()
+        p10.sentences(piece * n)
+        return time.perf_counter() - began
+
+    took(200)
+    assert took(3200) < 4 * 8 * max(took(400), 0.01)
+
+
 def test_very_long_text():
     assert len(p10.sentences("This is one of many sentences. " * 20_000)) == 20_000
 
