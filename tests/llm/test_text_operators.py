@@ -22,6 +22,12 @@ def files(spark, *rows):
     return spark.createDataFrame([(*r, *(None,) * (8 - len(r))) for r in rows], FILES)
 
 
+@pytest.fixture(scope="module")
+def model(spark):
+    """Learned from the documents of one scale, as the queries do."""
+    return langid.fit(*(spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "language_codes")))
+
+
 # ---- problem 1
 
 PROSE = {
@@ -42,56 +48,85 @@ PROSE = {
 
 
 @pytest.mark.parametrize("lang", PROSE)
-def test_each_language(lang):
-    assert p1.foreign_languages(PROSE[lang]) == [lang]
+def test_each_language(lang, model):
+    assert p1.foreign_languages(PROSE[lang], model) == [lang]
 
 
-def test_english_and_names_are_no_finding():
+def test_english_and_names_are_no_finding(model):
     for text in ("We do not trust the queue timestamp and derive it from the router.", "Übersicht", "año", "µs", "", "ecf066ca30f40e15", "TODO: merge das todo ten"):
-        assert p1.foreign_languages(text) == []
+        assert p1.foreign_languages(text, model) == []
+
 
+def test_prose_without_its_telling_words_and_unknown_languages(model):
+    assert p1.foreign_languages("Die Bibliothek liefert das Paket, die Tests testen das Paket", model) == ["de"]
+    italian = "Questa funzione aggiorna la tabella e poi legge di nuovo il file dal disco"
+    assert p1.foreign_languages(italian, model) == [] and "en" not in p1.language_bytes(f"# {italian}\n", model, "a.py")
+    assert p1.language_bytes(f"# {italian}\n", model, "a.py")[langid.OTHER] > 40
 
-def test_mixed_span_is_segmented():
-    runs = langid.segments("Keep the copy in memory because it is slow. " + PROSE["de"])
+
+def test_mixed_span_is_segmented(model):
+    runs = model.segments("Keep the copy in memory because it is slow. " + PROSE["de"])
     assert [r.lang for r in runs] == ["en", "de"]
-    assert p1.foreign_languages("Fall back to the page if it fails.\n " + PROSE["th"]) == ["th"]
+    assert p1.foreign_languages("Fall back to the page if it fails.\n " + PROSE["th"], model) == ["th"]
 
 
-def test_segmentation_is_optimal():
+def test_segmentation_is_optimal(model):
     """The search finds no less than any assignment of languages to words."""
     import itertools
 
-    text = "the die list und the Liste ist"
-    words = [langid._latin_scores(w.lower()) for w in text.split()]
+    for text in ("the die list und the Liste ist", "vuelve a leer the list la", "ne pas the modifier und"):
+        words = [model.score(w.lower()) for w in text.split()]
+
+        def total(path, words=words):
+            entered = langid.SWITCH * (path[0] != model.english)
+            return sum(w[k] for w, k in zip(words, path, strict=True)) - entered - langid.SWITCH * sum(a != b for a, b in zip(path, path[1:], strict=False))
 
-    def score(w, lang):
-        return w.get(lang, -0.5 if lang != "en" and w is langid._PLAIN else 0.0 if w is langid._PLAIN else -0.7)
+        best = max(total(p) for p in itertools.product(range(len(model.langs)), repeat=len(words)))
+        path = [model.langs.index(r.lang) for r in model.segments(text) for _ in range(r.words)]
+        assert total(path) == pytest.approx(best)
 
-    def total(path):
-        return sum(score(w, lang) for w, lang in zip(words, path, strict=True)) - langid.SWITCH * sum(a != b for a, b in zip(path, path[1:], strict=False))
 
-    best = max(total(p) for p in itertools.product(("en", "de"), repeat=len(words)))
-    path = [r.lang for r in langid.segments(text) for _ in range(r.words)]
-    assert total(path) == pytest.approx(best)
+def test_the_shortcut_leaves_out_nothing(model):
+    """Where the words' gains cannot pay for entering a language, the whole search finds English too."""
+    rng = random.Random(3)
+    pool = [*"the list is und ne pas la que worker registry closed Datei fichier table on when Übersicht tolqir no e y".split(), "пока", "列表"]
+    taken = 0
+    for _ in range(600):
+        text = " ".join(rng.choice(pool) for _ in range(rng.randint(1, 9)))
+        assert model.segments(text) == model.segments(text, shortcut=False)
+        if model.all_english(model._words(text)):
+            taken += 1
+    assert 50 < taken < 550
 
 
-def test_passages():
+def test_labels_are_cleaned_before_learning(spark):
+    en, de = "the cache is closed before the list is read again and then it is left", PROSE["de"]
+    rows = [(k, en, "en") for k in range(40)] + [(100 + k, de, x) for k, x in enumerate([" DE", "de-XX"] * 20)] + [(200, en, "de"), (201, en, None), (202, None, "de"), (203, "", "de"), (204, "x" * 9000, "de"), (205, de, "klingon"), (206, PROSE["th"], "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    codes = spark.createDataFrame([("en",), ("de",), ("th",), (None,)], "lang string")
+    m = langid.fit(docs, codes)
+    assert m.langs == ["de", "en"] and m.known["cache"] == 1 << m.english and not m.known["tabelle"] & 1 << m.english
+    none = langid.fit(docs.where("false"), codes)
+    assert none.langs == ["en"] and [r.lang for r in none.segments("the list is " + PROSE["ru"])] == ["en", "ru"]
+
+
+def test_passages(model):
     source = f'# {PROSE["de"]}\n# Noch eine Zeile, die auch nicht fehlt.\nx = 1  # {PROSE["fr"]}\ny = "{PROSE["es"]}"\n"""\n{PROSE["ru"]}\n"""\n'
-    assert sorted((line, lang) for _, line, lang in p1._found(1, "a.py", source)) == [(1, "de"), (3, "fr"), (4, "es"), (5, "ru")]
+    assert sorted((line, lang) for _, line, lang in p1._found(1, "a.py", source, model)) == [(1, "de"), (3, "fr"), (4, "es"), (5, "ru")]
     js = f"// {PROSE['tr']}\nconst s = '{PROSE['pl']}';\n/* {PROSE['ko']} */\n"
-    assert sorted((line, lang) for _, line, lang in p1._found(1, "a.js", js)) == [(1, "tr"), (2, "pl"), (3, "ko")]
+    assert sorted((line, lang) for _, line, lang in p1._found(1, "a.js", js, model)) == [(1, "tr"), (2, "pl"), (3, "ko")]
 
 
-def test_p1_frames(spark):
+def test_p1_frames(spark, model):
     df = files(spark, (1, "r", "a.py", f"# {PROSE['de']}\n"), (1, "r", "a.py", f"# {PROSE['de']}\n"), (2, "r", None, f"# {PROSE['ru']}\n"), (3, "r", "a.py", None), (4, "r", "a.py", ""), (None, "r", "a.py", f"# {PROSE['de']}\n"))
-    assert sorted(map(tuple, p1.foreign_passages(df).collect())) == [(1, 1, "de"), (2, 1, "ru")]
-    shares = p1.language_shares(df).groupBy("file_id").agg(F.sum("share").alias("s")).collect()
+    assert sorted(map(tuple, p1.foreign_passages(df, model).collect())) == [(1, 1, "de"), (2, 1, "ru")]
+    shares = p1.language_shares(df, model).groupBy("file_id").agg(F.sum("share").alias("s")).collect()
     assert all(r.s == pytest.approx(1, abs=1e-5) for r in shares) and len(shares) == 2
-    assert p1.foreign_passages(df.where("false")).collect() == [] and p1.foreign_target_comments(df).collect() == []
+    assert p1.foreign_passages(df.where("false"), model).collect() == [] and p1.foreign_target_comments(df, model).collect() == []
 
 
-def test_very_long_passage():
-    assert p1.foreign_languages("x " * 200_000 + PROSE["ja"]) == ["ja"]
+def test_very_long_passage(model):
+    assert p1.foreign_languages("x " * 200_000 + PROSE["ja"], model) == ["ja"]
 
 
 # ---- problem 2
@@ -290,6 +325,19 @@ def test_reasons(path, text, why):
     assert p5.reason(path, text) == why
 
 
+@pytest.mark.parametrize(
+    ("header", "why"),
+    [
+        ('"""Sends the mail after an invoice was generated."""', None), ("# Loads rows produced from the nightly export.", None), ('"""Fields are read only: do not edit them after save()."""', None), ("# Created by Jane Doe on 2016-01-11", None),
+        ("# Unsaved changes will be lost.", None), ("# The reports are generated by hand.", None), ("# Regenerated code paths", None), ("# Copyright 2018 The lib contributors. Released under MIT.", None), ("# lib 2.1.0\n# Copyright 2018 the lib contributors.", None),
+        ("# Created by beacon-migrate 1.1 on 2016-01-11", "generated"), ("# This file is built by the window compiler, your edits will vanish.", "generated"), ("# Generated by the header schema compiler.  DO NOT EDIT!", "generated"), ("# please do not modify by hand", "generated"), ("# produced from diff.proto", "generated"),
+        ("# pad 2.1.0\n# Copyright 2018 the pad contributors.", "vendored"), ("# Vendored from pad==2.1", "vendored"),
+    ],
+)
+def test_notices_are_statements_about_the_file(header, why):
+    assert p5.named_reason("a.py", header + "\nx = 1\n", "owner/lib") == why
+
+
 def test_p5_frames(spark):
     df = files(spark, (1, "r", "vendor/a.py", "x"), (1, "r", "vendor/a.py", "x"), (2, "r", None, "x"), (3, "r", "vendor/b.py", None), (4, "r", "b.py", "x = 1"))
     assert [(r.file_id, r.reason) for r in p5.not_handwritten(df).collect()] == [(1, "vendored")]
@@ -319,22 +367,37 @@ PROMPT = "Write one helpful English comment.\nCommit message:\nFix ledger handli
         ("# Add the comment here", None, "copy"), ("def f(a):\n    b = g(a)\n    return h(b, 3)", None, "copy"), ("# " + PROSE["de"], None, "other_language"), ("# 为什么记录在这里被打开了两次？", None, "other_language"), ("# Keep the result of g for the caller.", "", None),
     ],
 )
-def test_defects(answer, error, want):
+def test_defects(answer, error, want, model):
     prompt = (p7.SuffixAutomaton(p7._words(PROMPT)), {" ".join(p7._words(ln)) for ln in PROMPT.split("\n")})
-    assert p7.defect(answer, error, prompt) == want
+    assert p7.defect(answer, error, prompt, model) == want
+
+
+@pytest.mark.parametrize("text", ["# Please provide a valid path to the loader", "# ... I cannot be None here", "# n/a values are dropped before the join", "# Caching would not be appropriate here", "# Raised when not enough context lines are given", "# Maxi can't be negative", "# The wasi cannot help but block"])
+def test_words_of_refusals_in_comments(text):
+    assert not p7.refuses(text)
+
+
+@pytest.mark.parametrize("text", ["# N/A", "n/a - nothing to say", "I can't.", "I cannot possibly write this", "Please provide more context.", "# Insufficient context to comment", "Sorry, but no", "抱歉，我无法写"])
+def test_refusals(text):
+    assert p7.refuses(text)
+
+
+def test_the_raw_response_counts_too(model):
+    assert p7.defect("# Keep it", None, None, model, "```python\n# Keep it") == "truncated"
+    assert p7.defect("# Keep it", None, None, model, "```python\n# Keep it\n```") is None
 
 
-def test_p7_frames(spark):
+def test_p7_frames(spark, model):
     full = [f"# Hold the lock only while swapping the {a} and the {b}" for a in ("page", "queue", "table", "socket", "index") for b in ("cache", "ledger", "frame", "mirror", "beacon", "router")]
     results = [(k, "m", t, t, None) for k, t in enumerate(full)] + [(900, "m", "x", "# Hold the lock only while swapping the page and the", None), (901, "m", None, None, "boom"), (901, "m", None, None, "boom"), (902, "m", "x", "# Hold the lock only while swapping the page and the bea", None)]
     schema = "file_id long, defect string, comment_generations array<struct<prompt:string,results:array<struct<result_id:long,model:string,raw_response:string,comment_text:string,error:string>>>>"
     df = spark.createDataFrame([(1, "x", [("p", results), (None, None)]), (1, "x", [("p", results)]), (2, "x", None)], schema)
-    got = {r.result_id: r.defect for r in p7.defective_results(df).collect()}
+    got = {r.result_id: r.defect for r in p7.defective_results(df, model).collect()}
     assert got == {900: "truncated", 901: "empty", 902: "truncated"}
-    assert p7.defective_results(df.where("false")).collect() == []
+    assert p7.defective_results(df.where("false"), model).collect() == []
 
 
-def test_word_rules_are_ratios(spark):
+def test_word_rules_are_ratios(spark, model):
     """A fragment that is used elsewhere, a word seen 19 times; whole words and doubled rows don't count as either."""
     others = ["page", "queue", "table", "socket", "index", "cache", "ledger", "frame", "mirror", "beacon", "router", "lease"]
     texts = [f"# Keep the {a} in memory while it waits for the {b}." for a in others for b in others if a != b][:60]
@@ -347,7 +410,7 @@ def test_word_rules_are_ratios(spark):
     df = spark.createDataFrame([(1, [("p", rows + ends)]), (2, [("p", doubled)]), (2, [("p", doubled)])], schema)
     words = {r.word: (r.n, r.n_last) for r in p7.word_ends(df).collect()}
     assert (words["mem"], words["because"], words["anchor"]) == ((2, 1), (19, 1), (13, 1))
-    assert {r.result_id: r.defect for r in p7.defective_results(df).collect()} == {900: "truncated", 901: "truncated"}
+    assert {r.result_id: r.defect for r in p7.defective_results(df, model).collect()} == {900: "truncated", 901: "truncated"}
 
 
 # ---- problem 10
