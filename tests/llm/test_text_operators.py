@@ -289,6 +289,63 @@ def test_long_literals_are_searched_too(n):
         assert p4.redact(text, found) == text.replace("M34dow_HpfZ", p4.MASK)
 
 
+def test_unnamed_tokens_are_told_by_their_entropy():
+    token = "9fK2mQ7zLp4RtW8vYb3NcX6hJd5S"
+    for line in (f'c = Client("{token}")', f'run("send {token} and go")', f"# it was {token} once", f'go(1, ["{token}"])'):
+        for found in (p4.random_values(line + "\n", "a.py"), p4.secrets(line + "\n", "a.py")):
+            assert [(line + "\n")[s.start : s.end] for s in found] == [token]
+    blob = "\n".join(["aB3" + "dE5fG7hJ9kL2mN4pQ6rS8tU1vW3xY5zA7bC9dE2fG4hJ6k"[k:] + "0Zx8"[:k] for k in range(3)])
+    for text in (f'c = Client("{"9f82ab17c3" * 4}")', 'm = get("normalizeWorkerTurbine12")', f'run_id = "{token}"', f'sha256 = "{token}"', f'x = """\n{blob}\n"""', 'i = "data:image/png;base64,' + token + '"', 'p = "/' + token + '"', 'k = "AAAAAAAAAAAAbbbbbbbbbb11111"'):
+        assert p4.random_values(text + "\n", "a.py") == []
+
+
+def test_thresholds_follow_alphabet_and_length():
+    rng = random.Random(4)
+    for pool in ("0123456789abcdef", "abcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"):
+        for n in (16, 24, 40, 100):
+            texts = ["".join(rng.choice(pool) for _ in range(n)) for _ in range(200)]
+            assert sum(p4.is_random(t, p4.ALONE) for t in texts) > 185
+    means = [p4.typical_entropy(62, n)[0] for n in (8, 16, 32, 64, 128)]
+    assert means == sorted(means) and p4.typical_entropy(16, 64)[0] < p4.typical_entropy(62, 64)[0]
+    assert not p4.is_random("normalizeWorkerTurbine", p4.ALONE)
+
+
+@pytest.mark.parametrize("piece", ['x={"token": "abcdefgh1", "k": f("9fK2mQ7zLp4RtW8vYb3NcX6hJd5S", "u")};', 'a("--login", "b", default="x");', "x" * 40, "pass-", '#" '])
+def test_time_is_linear_on_one_line(piece):
+    import time
+
+    def took(n):
+        began = time.perf_counter()
+        p4.secrets(piece * n, "a.js")
+        return time.perf_counter() - began
+
+    took(50)
+    assert took(4000) < 4 * 8 * max(took(500), 0.01)
+
+
+def test_names_far_away_and_long_names():
+    gap = "x" * 500
+    long = "a" * 80 + "_password"
+    for line, want in ((f'{gap} = 1; api_token = "{KEY}"', KEY), (f'# {long}: M34dow_HpfZ', "M34dow_HpfZ"), (f'users = [("{gap}", "raven-bramble-raven-72")]', "raven-bramble-raven-72"), (f'p.add_argument("--token", help="{gap}", default="{SECRET}")', SECRET)):
+        assert [(line + "\n")[s.start : s.end] for s in p4.secrets(line + "\n", "a.py")] == [want]
+
+
+def test_redacted_files_still_parse():
+    import duckdb
+
+    rows = duckdb.sql("SELECT DISTINCT new_path, source_code FROM '/root/testdata/sf0.01/dataset.parquet' WHERE source_code IS NOT NULL AND new_path IS NOT NULL").fetchall()
+    changed = 0
+    for path, text in rows:
+        found = p4.secrets(text, path)
+        ext = path.rpartition(".")[2]
+        if found and ext in ("py", "js", "json", "toml") and syntax.check(ext, text).valid:
+            changed += 1
+            clean = p4.redact(text, found)
+            assert syntax.check(ext, clean).valid, path
+            assert clean.count("\n") == text.count("\n")
+    assert changed > 20
+
+
 def test_redacted_prompt_codes(spark):
     c = lambda line, code: {"comment": "c", "type": "block", "start_line": line, "end_line": line, "anchor": None, "status": "added", "prompt_code": code, "prompt": None}
     src = f'class A:\r\n    a_token = ("{SECRET[:12]}"\r\n        "{SECRET[12:]}")\r\n    password = "zrx0eimSW!"\r\n'
