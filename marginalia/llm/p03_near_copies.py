@@ -1,16 +1,23 @@
 """Problem 3: near-duplicate files, all pairs whose shingle similarity is at least a threshold.
 
-Candidates meet in an exact prefix join: shingles are ordered by how often they occur, and two sets that are
-similar enough must share ``k`` of the rarest ``n - ceil(t n) + k`` shingles of each (``k`` at most ``MEETINGS``).  Every index row carries its
-file's pivot distances: Hamming distances from the parity fingerprint of its shingle set to reference
-fingerprints.  A pair whose greatest coordinate difference exceeds the Hamming distance that the threshold
-allows cannot be similar (triangle inequality) and is discarded; survivors are verified on the whole sets.  Pivot
-tables alone name no candidates short of all pairs, hence the join in front of them.
-
-Scale: exact copies collapse to one representative first.  The order comes from a count sketch of fixed width,
-file sets from fixed-size Bloom filters; nothing that is broadcast grows with the data.  A shingle that the sketch
-knows to be frequent is spread over a grid of block pairs, so no task gets a hot bucket whole.  Texts are not
-shuffled: stages read them again.
+The method (``by="pivots"``, query ``p3_method``): every distinct shingle set has a parity fingerprint, whose Hamming
+distances never exceed the sets' own, and a row in the pivot table: its distances to PIVOTS reference fingerprints.
+Sets are ordered by their distance to the empty fingerprint; blocks of that order within reach of each other propose
+their pairs from the table, pairs with too great a difference in any coordinate are discarded (triangle inequality,
+without loss), and survivors are verified by fingerprint and then on the whole sets.
+
+Unrelated files of like size are about as far from any reference as each other, unless the reference is a near copy of
+one of them; so the table alone leaves a share of all pairs that grows with the square of the files.  ``by="prefix"``,
+behind ``p3_found`` and the other queries, therefore proposes pairs by an exact prefix join: shingles are ordered by how
+often they occur, and two sets that are similar enough must share ``k`` of the rarest ``n - ceil(t n) + k`` shingles of
+each (``k`` at most ``MEETINGS``).  Every index row carries the first JOIN_PIVOTS distances, by which pairs are discarded
+as above.
+
+Scale: texts are read once; shingle sets are written and read from there.  Exact copies collapse to one representative
+first, pairs of copies are expanded in blocks.  The order comes from a count sketch and files are picked by Bloom
+filters, both sized from the counted input up to a fixed most; beyond it the sketch's mean load is taken off its counts,
+and files are picked by joins.  A frequent shingle is spread over a grid of block pairs, so no task gets a hot bucket
+whole.
 
 Defined cases: null ids or texts, files under ``min_chars`` code points and files under three words have no
 pairs; rows delivered twice count once; other columns are ignored.
@@ -18,6 +25,7 @@ pairs; rows delivered twice count once; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
 import zlib
@@ -34,11 +42,15 @@ from .common import sources, table
 WIDTH = 3
 PERCENT = 65
 MIN_CHARS = 200
-SKETCH_BITS = 22
-BLOOM_BITS = 23
+# Counters of the sketch: as many as bring LOAD shingles to each, within these powers of two (32 MB at most).
+LOAD, LEAST_BITS, MOST_BITS = 16, 16, 24
+BLOOM_BITS_EACH, MOST_BLOOM_BITS = 16, 29  # bits per id, and of a whole filter (64 MB)
 BLOCK = 1 << 16
+MERGE_AT_ONCE = 64
 FINGERPRINT_WORDS = 64  # 4096 bits
-PIVOTS = 8
+PIVOTS, JOIN_PIVOTS = 64, 8
+PIVOT_BLOCK, PIVOT_STEP = 4096, 128
+COPIES_BLOCK = 500
 HOT, HOT_BLOCK = 5000, 2500
 MEETINGS = 12
 
@@ -99,12 +111,16 @@ class Bloom:
     def __init__(self, bits: int, cells: np.ndarray) -> None:
         self.bits, self.cells = bits, cells
 
-    def __contains__(self, file_id: int) -> bool:
-        return bool(self.cells[_bloom_slots(np.array([file_id], np.int64), self.bits).ravel().astype(np.int64)].all())
+    def holds(self, ids: np.ndarray) -> np.ndarray:
+        """Whether each id may be among those of the filter."""
+        return self.cells[_bloom_slots(ids, self.bits).astype(np.int64)].all(axis=0)
 
     @classmethod
-    def of(cls, ids: DataFrame, bits: int = BLOOM_BITS) -> Bloom:
-        """Built block by block on the executors; the driver receives at most ``2 ** bits`` bits."""
+    def of(cls, ids: DataFrame, n: int) -> Bloom | None:
+        """For ``n`` ids, built block by block on the executors; none where its size would pass the most."""
+        bits = max(BLOCK.bit_length() + 2, (BLOOM_BITS_EACH * max(n, 1)).bit_length())
+        if bits > MOST_BLOOM_BITS:
+            return None
         column = ids.columns[0]
 
         def partial(batches):
@@ -126,83 +142,111 @@ def _blocks(values: np.ndarray, size: int):
     for k in range(0, len(values), size):
         part = values[k : k + size]
         if part.any():
-            yield pd.DataFrame({"block": np.array([k // size], np.int32), "data": [part.tobytes()]})
+            yield pd.DataFrame({"block": np.array([k // size], np.int32), "data": [zlib.compress(part.tobytes(), 1)]})
 
 
 def _merge(blocks: DataFrame, how: str) -> DataFrame:
-    """Blocks of partial bit maps or counts combined, pairwise within the stream of each block's rows."""
+    """Blocks of partial bit maps or counts combined; many partitions are combined in two steps."""
 
-    def combine(pdf):
-        import pandas as pd
+    def combine(last: bool):
+        def run(pdf):
+            import pandas as pd
 
-        if how == "or":
-            total = np.bitwise_or.reduce([np.frombuffer(d, np.uint8) for d in pdf["data"]])
-        else:
-            total = np.zeros(BLOCK, np.int64)
-            for d in pdf["data"]:
-                total += np.frombuffer(zlib.decompress(d), np.uint16)
-            total = np.minimum(total, 2**31 - 1).astype(np.int32)
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "data": [total.tobytes()]})
+            if how == "or":
+                total = np.bitwise_or.reduce([np.frombuffer(zlib.decompress(d), np.uint8) for d in pdf["data"]])
+            else:
+                total = np.zeros(BLOCK, np.int64)
+                for d in pdf["data"]:
+                    total += np.frombuffer(zlib.decompress(d), np.int32)
+                total = np.minimum(total, 2**31 - 1).astype(np.int32)
+            return pd.DataFrame({"block": [pdf["block"].iloc[0]], "data": [total.tobytes() if last else zlib.compress(total.tobytes(), 1)]})
 
-    return blocks.groupBy("block").applyInPandas(combine, "block int, data binary")
+        return run
 
+    parts = blocks.rdd.getNumPartitions()
+    if parts > MERGE_AT_ONCE:
+        salted = blocks.withColumn("salt", F.spark_partition_id() % F.lit(math.isqrt(parts)))
+        blocks = salted.groupBy("block", "salt").applyInPandas(lambda pdf: combine(False)(pdf), "block int, data binary")
+    return blocks.groupBy("block").applyInPandas(combine(True), "block int, data binary")
 
-def _survey(batches, min_chars: int, width: int, bits: int):
-    """First reading: (file_id, set_id) of every file, this partition's counts, its candidates for pivots."""
-    import pandas as pd
 
-    counts = np.zeros(1 << bits, np.int64)
+def _sets(batches, min_chars: int, width: int):
+    """(file_id, set_id, n, sh) of every file with enough text."""
+    import pyarrow as pa
+
+    for batch in batches:
+        ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        rows = [(i, sh) for i, text in zip(ids, texts, strict=True) if len(text) >= min_chars and len(sh := shingles(text, width))]
+        columns = [pa.array([i for i, _ in rows], pa.int64()), pa.array([_set_id(sh) for _, sh in rows], pa.binary()), pa.array([len(sh) for _, sh in rows], pa.int32()), pa.array([sh.tobytes() for _, sh in rows], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["file_id", "set_id", "n", "sh"])
+
+
+def _survey(batches, bits: int):
+    """Counts of this partition's shingles by block of the sketch, and its candidates for references."""
+    import pyarrow as pa
+
+    counts = np.zeros(1 << bits, np.int32)
     pivots: dict[bytes, bytes] = {}
-    empty = {"kind": 0, "file_id": None, "block": None, "data": None}
     for batch in batches:
-        ids, sets = [], []
-        for file_id, text in zip(batch["file_id"], batch["source_code"], strict=True):
-            if len(text) < min_chars:
-                continue
-            sh = shingles(text, width)
-            if not len(sh):
-                continue
-            sid = _set_id(sh)
+        for sid, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            sh = np.frombuffer(data, np.uint64)
             np.add.at(counts, _slot(sh, bits), 1)
             if len(pivots) < PIVOTS or sid < max(pivots):
                 pivots[sid] = _fingerprint(sh).tobytes()
                 if len(pivots) > PIVOTS:
                     del pivots[max(pivots)]
-            ids.append(file_id)
-            sets.append(sid)
-        if ids:
-            yield pd.DataFrame({**empty, "file_id": ids, "data": sets})[["kind", "file_id", "block", "data"]]
+    rows = []
     for k in range(0, 1 << bits, BLOCK):
         part = counts[k : k + BLOCK]
         if part.any():
-            data = zlib.compress(np.minimum(part, 65535).astype(np.uint16).tobytes(), 1)
-            yield pd.DataFrame([{**empty, "kind": 1, "block": k // BLOCK, "data": data}])
-    for sid, fp in pivots.items():
-        yield pd.DataFrame([{**empty, "kind": 2, "data": sid + fp}])
+            rows.append((k // BLOCK, zlib.compress(part.tobytes(), 1)))
+    rows += [(-1, sid + fp) for sid, fp in pivots.items()]
+    for k in range(0, len(rows), 64):
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[k : k + 64]], pa.int32()), pa.array([r[1] for r in rows[k : k + 64]], pa.binary())], names=["block", "data"])
+
+
+class Sketch:
+    """How often shingles occur at most, and how often about.
+
+    ``load`` is the mean of a counter: what it holds of other shingles.  Under LOAD times two, counts are taken as they
+    are; beyond, the load is taken off, so that only what is really frequent looks so.
+    """
+
+    def __init__(self, counts: np.ndarray, total: int) -> None:
+        self.bits = len(counts).bit_length() - 1
+        self.load = total / len(counts)
+        self.exact = self.load <= 2 * LOAD
+        self.counts = np.minimum(counts if self.exact else np.maximum(counts - int(self.load), 0), 65535).astype(np.uint16)
+        self.hot = HOT if self.exact else HOT + 6 * math.isqrt(int(self.load))
+        self.hot_block = HOT_BLOCK
+
+    def of(self, sh: np.ndarray) -> np.ndarray:
+        return self.counts[_slot(sh, self.bits)].astype(np.int64)
 
 
 def _slot(sh: np.ndarray, bits: int) -> np.ndarray:
     return (sh >> _U(64 - bits)).astype(np.int64)
 
 
-def _prefix_rows(file_id: int, sh: np.ndarray, counts: np.ndarray, pivots: np.ndarray, percent: int):
+def _prefix_rows(file_id: int, sh: np.ndarray, sketch: Sketch, pivots: np.ndarray, percent: int):
     """Index rows (key, rep, n, side, piv) of one set as columns."""
     n = len(sh)
-    c = counts[_slot(sh, SKETCH_BITS)]
+    c = sketch.of(sh)
     needed = -(-percent * n // 100)
     keep = n - needed + min(MEETINGS, needed)
     order = np.lexsort((sh, c))[:keep]
-    order = order[c[order] > 1]  # counted once: no other file has it
+    if sketch.exact:
+        order = order[c[order] > 1]  # counted once: no other file has it
     if not len(order):
         return None
     token, count = sh[order], c[order]
     piv = np.bitwise_count(_fingerprint(sh) ^ pivots).sum(axis=1).astype(np.uint16).tobytes()
     key, side = token.view(np.int64), np.zeros(len(token), np.int8)
-    hot = np.flatnonzero(count > HOT)
+    hot = np.flatnonzero(count > sketch.hot)
     if len(hot):
         keys, sides = [np.delete(key, hot)], [np.delete(side, hot)]
         for k in hot:
-            grid = -(-int(count[k]) // HOT_BLOCK)
+            grid = -(-int(count[k]) // sketch.hot_block)
             own = xxhash.xxh3_64_intdigest(file_id.to_bytes(8, "little", signed=True)) % grid
             other = np.arange(grid, dtype=np.int64)
             low, high = np.minimum(own, other), np.maximum(own, other)
@@ -217,14 +261,15 @@ def _prefix_rows(file_id: int, sh: np.ndarray, counts: np.ndarray, pivots: np.nd
 _INDEX = "key long, rep long, n int, side byte, piv binary"
 
 
-def _index(batches, counts, pivots, percent: int, sets):
-    """Index rows of the sets that ``sets(batch)`` yields as (file_id, shingles)."""
+def _index(batches, sketch, pivots, percent: int):
+    """Index rows of sets; batches hold file_id and shingles."""
     import pyarrow as pa
 
     names = ["key", "rep", "n", "side", "piv"]
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int8()]
     for batch in batches:
-        parts = [r for r in (_prefix_rows(i, sh, counts.value, pivots, percent) for i, sh in sets(batch)) if r]
+        sets = ((i, np.frombuffer(sh, np.uint64)) for i, sh in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        parts = [r for r in (_prefix_rows(i, sh, sketch.value, pivots, percent) for i, sh in sets) if r]
         for k in range(0, len(parts), 500):
             some = parts[k : k + 500]
             sizes = [len(r[0]) for r in some]
@@ -240,7 +285,7 @@ def _pairs(batches, percent: int):
     rest = None
     for batch in batches:
         columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
-        columns.append(np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint16).reshape(-1, PIVOTS).astype(np.int32))
+        columns.append(np.frombuffer(b"".join(batch.column(4).to_pylist()), np.uint16).reshape(-1, JOIN_PIVOTS).astype(np.int32))
         if rest is not None:
             columns = [np.concatenate([a, b]) for a, b in zip(rest, columns, strict=True)]
         key = columns[0]
@@ -271,6 +316,70 @@ def _emit(columns, percent: int, pa):
         step += 1
 
 
+def _distances(batches, references: np.ndarray):
+    """(rep, n, d, fp, piv): size, distance to the empty fingerprint, fingerprint and row of the pivot table."""
+    import pyarrow as pa
+
+    for batch in batches:
+        prints = [_fingerprint(np.frombuffer(sh, np.uint64)) for sh in batch.column(1).to_pylist()]
+        sizes = [len(sh) // 8 for sh in batch.column(1).to_pylist()]
+        rows = [np.bitwise_count(fp ^ references).sum(axis=1).astype(np.uint16).tobytes() for fp in prints]
+        columns = [batch.column(0), pa.array(sizes, pa.int32()), pa.array([int(np.bitwise_count(fp).sum()) for fp in prints], pa.int32()), pa.array([fp.tobytes() for fp in prints], pa.binary()), pa.array(rows, pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["rep", "n", "d", "fp", "piv"])
+
+
+def _within_reach(percent: int):
+    """Pairs of one cell, which holds one block or two, that neither the pivot table nor the fingerprints discard."""
+
+    def run(pdf):
+        import pandas as pd
+
+        low = pdf["block"].to_numpy() == pdf["low"].to_numpy()
+        same = bool((pdf["low"] == pdf["high"]).all())
+        side = [np.flatnonzero(low), np.flatnonzero(~low) if not same else np.flatnonzero(low)]
+        piv = np.frombuffer(b"".join(pdf["piv"]), np.uint16).reshape(-1, PIVOTS).astype(np.int16)
+        fps = np.frombuffer(b"".join(pdf["fp"]), np.uint64).reshape(-1, FINGERPRINT_WORDS)
+        d, n, rep = pdf["d"].to_numpy().astype(np.int16), pdf["n"].to_numpy().astype(np.int64), pdf["rep"].to_numpy()
+        out = []
+        b = side[1]
+        for k in range(0, len(side[0]), PIVOT_STEP):
+            a = side[0][k : k + PIVOT_STEP]
+            far = (100 - percent) * (n[a][:, None] + n[b][None, :]) // (100 + percent)
+            ok = 100 * np.minimum(n[a][:, None], n[b][None, :]) >= percent * np.maximum(n[a][:, None], n[b][None, :])
+            ok &= np.abs(d[a][:, None] - d[b][None, :]) <= far
+            if same:
+                ok &= a[:, None] < b[None, :]
+            i, j = np.nonzero(ok)
+            reach = far[i, j]
+            for p in range(0, PIVOTS, 8):  # coordinates in groups, each on what the last one left
+                kept = np.abs(piv[a[i], p : p + 8] - piv[b[j], p : p + 8]).max(axis=1, initial=0) <= reach
+                i, j, reach = i[kept], j[kept], reach[kept]
+            for at in range(0, len(i), 1 << 15):
+                x, y = a[i[at : at + (1 << 15)]], b[j[at : at + (1 << 15)]]
+                near = np.bitwise_count(fps[x] ^ fps[y]).sum(axis=1, dtype=np.int64) <= reach[at : at + (1 << 15)]
+                out.append((np.minimum(rep[x[near]], rep[y[near]]), np.maximum(rep[x[near]], rep[y[near]])))
+        if not out:
+            return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+        return pd.DataFrame({"a": np.concatenate([x for x, _ in out]), "b": np.concatenate([y for _, y in out])})
+
+    return run
+
+
+def _by_pivots(reps: DataFrame, references: np.ndarray, percent: int, n_sets: int, folder: str) -> DataFrame:
+    """(a, b): the pairs that survive the pivot table and the fingerprints; ``reps`` has file_id and sh of each set once."""
+    spark = reps.sparkSession
+    table_of = reps.mapInArrow(lambda b: _distances(b, references), "rep long, n int, d int, fp binary, piv binary")
+    blocks = max(1, -(-n_sets // PIVOT_BLOCK))
+    table_of.repartitionByRange(blocks, "d", "rep").withColumn("block", F.spark_partition_id()).write.parquet(f"{folder}/pivots")
+    rows = spark.read.schema("rep long, n int, d int, fp binary, piv binary, block int").parquet(f"{folder}/pivots")
+    ends = rows.groupBy("block").agg(F.min("d").alias("first"), F.max("d").alias("last"), F.max("n").alias("most"))
+    far = F.expr(f"(x.most + y.most) * {100 - percent} div {100 + percent}")
+    cells = ends.alias("x").join(ends.alias("y"), (F.col("x.block") <= F.col("y.block")) & (F.col("y.first") - F.col("x.last") <= far))
+    cells = cells.select(F.col("x.block").alias("low"), F.col("y.block").alias("high"))  # one row for each PIVOT_BLOCK sets and block in reach
+    placed = cells.withColumn("block", F.explode(F.array_distinct(F.array("low", "high")))).join(rows, "block")
+    return placed.groupBy("low", "high").applyInPandas(_within_reach(percent), "a long, b long")
+
+
 def _verify(batches, percent: int):
     import pyarrow as pa
 
@@ -294,12 +403,22 @@ class NearCopies:
         self.members, self.links = members, links
 
     def pairs(self) -> DataFrame:
-        """(file_id_a, file_id_b), smaller first: every pair, exact copies included."""
-        m = self.members.select("file_id", "rep")
-        a, b = m.toDF("file_a", "a"), m.toDF("file_b", "b")
-        across = self.links.select("a", "b").join(a, "a").join(b, "b").select("file_a", "file_b")
-        copies = self.members.where("copies > 1").select("file_id", "rep")
-        within = copies.toDF("file_a", "r").join(copies.toDF("file_b", "r"), "r").where("file_a < file_b").select("file_a", "file_b")
+        """(file_id_a, file_id_b), smaller first: every pair, exact copies included.
+
+        A class of many copies is cut into blocks, so that no task gets all pairs of a class.
+        """
+        blocks = F.ceil(F.col("copies") / COPIES_BLOCK).cast("int")
+        m = self.members.select("file_id", "rep", F.pmod(F.xxhash64("file_id"), blocks).cast("int").alias("block"), blocks.alias("blocks"), "copies")
+        classes = m.where("file_id = rep").select("rep", "blocks")
+        links = self.links.select("a", "b").join(classes.toDF("a", "n"), "a").join(classes.toDF("b", "k"), "b")
+        every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+        links = links.withColumn("i", F.explode(every("n"))).withColumn("j", F.explode(every("k")))
+        across = links.join(m.select(F.col("rep").alias("a"), F.col("block").alias("i"), F.col("file_id").alias("file_a")), ["a", "i"])
+        across = across.join(m.select(F.col("rep").alias("b"), F.col("block").alias("j"), F.col("file_id").alias("file_b")), ["b", "j"]).select("file_a", "file_b")
+        copies = m.where("copies > 1")
+        left = copies.select("rep", F.col("block").alias("i"), F.explode(every("blocks")).alias("j"), F.col("file_id").alias("file_a"))
+        right = copies.select("rep", F.explode(every("blocks")).alias("i"), F.col("block").alias("j"), F.col("file_id").alias("file_b"))
+        within = left.join(right, ["rep", "i", "j"]).where("file_a < file_b").select("file_a", "file_b")
         both = across.unionByName(within)
         return both.select(F.least("file_a", "file_b").alias("file_id_a"), F.greatest("file_a", "file_b").alias("file_id_b"))
 
@@ -328,75 +447,92 @@ def components(edges: DataFrame) -> DataFrame:
         labels = nxt.select("node", F.col("new").alias("label"))
 
 
-def near_copies(dataset: DataFrame, percent: int = PERCENT, width: int = WIDTH, min_chars: int = MIN_CHARS) -> NearCopies:
+def near_copies(dataset: DataFrame, percent: int = PERCENT, width: int = WIDTH, min_chars: int = MIN_CHARS, by: str = "prefix") -> NearCopies:
     """All files that are similar: shared runs of ``width`` words over all runs of both, at least ``percent`` / 100."""
     spark = dataset.sparkSession
-    texts = widen(sources(dataset).select("file_id", "source_code").where(F.length("source_code") >= min_chars))
     folder = f"{checkpoint_dir(spark)}/near-copies-{uuid.uuid4().hex}"
-
-    def survey(batches):
-        yield from _survey(batches, min_chars, width, SKETCH_BITS)
-
-    texts.mapInPandas(survey, "kind int, file_id long, block int, data binary").write.partitionBy("kind").parquet(f"{folder}/survey")
-    found = spark.read.schema("file_id long, block int, data binary, kind int").parquet(f"{folder}/survey")
-
-    counts = np.zeros(1 << SKETCH_BITS, np.int32)
-    for row in _merge(found.where("kind = 1").select("block", "data"), "add").collect():
-        counts[row.block * BLOCK : (row.block + 1) * BLOCK] = np.frombuffer(row.data, np.int32)
-    firsts = [r.data for r in found.where("kind = 2").select("data").distinct().orderBy("data").limit(PIVOTS).collect()]
+    texts = widen(sources(dataset).select("file_id", "source_code").where(F.length("source_code") >= min_chars))
+    texts.mapInArrow(lambda b: _sets(b, min_chars, width), "file_id long, set_id binary, n int, sh binary").write.parquet(f"{folder}/sets")
+    sets = spark.read.schema("file_id long, set_id binary, n int, sh binary").parquet(f"{folder}/sets")
+
+    # which sets recur, and who stands for them
+    rows = sets.select("file_id", "set_id")
+    classes = rows.groupBy("set_id").agg(F.min("file_id").alias("rep"), F.count("*").alias("delivered"))
+    members = cut(rows.distinct().join(classes, "set_id").select("file_id", "rep", "delivered"))
+    repeated = members.where("delivered > 1").select("file_id", "rep")
+    pairs_of = members.groupBy("rep").agg(F.count("*").alias("copies"))
+    members_of = members.join(pairs_of, "rep").select("file_id", "rep", "copies")
+    size = sets.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    n_repeated = repeated.count()
+    several = Bloom.of(repeated.select("file_id"), n_repeated)
+    picked = spark.sparkContext.broadcast(several)  # MOST_BLOOM_BITS at most
+
+    # the sketch and the references
+    bits = min(MOST_BITS, max(LEAST_BITS, int(size.n / LOAD).bit_length()))
+    surveyed = sets.select("set_id", "sh").mapInArrow(lambda b: _survey(b, bits), "block int, data binary")
+    surveyed.write.parquet(f"{folder}/survey")
+    surveyed = spark.read.schema("block int, data binary").parquet(f"{folder}/survey")
+    firsts = [r.data for r in surveyed.where("block = -1").select("data").distinct().orderBy("data").limit(PIVOTS).collect()]
     references = np.zeros((PIVOTS, FINGERPRINT_WORDS), np.uint64)
     for k, row in enumerate(firsts):
         references[k] = np.frombuffer(row[16:], np.uint64)
-    shared = spark.sparkContext.broadcast(counts)
 
-    rows = found.where("kind = 0").select("file_id", F.col("data").alias("set_id"))
-    sets = rows.groupBy("set_id").agg(F.min("file_id").alias("rep"), F.count("*").alias("delivered"))
-    members = cut(rows.distinct().join(sets, "set_id").select("file_id", "rep", "delivered"))
-    repeated = members.where("delivered > 1")
-    bloom = spark.sparkContext.broadcast(Bloom.of(repeated.select("file_id")))
-    pairs_of = members.groupBy("rep").agg(F.count("*").alias("copies"))
-    members = members.join(pairs_of, "rep").select("file_id", "rep", "copies")
-
-    def hashed(batch, wanted):
-        for file_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if wanted(file_id):
-                yield file_id, shingles(text, width)
-
-    def direct(batches):  # files that are surely delivered once and have no exact copy
-        yield from _index(batches, shared, references, percent, lambda b: hashed(b, lambda i: i not in bloom.value))
-
-    def doubtful(batches):
+    # one row for each set: files that are surely the only ones with theirs, and the representatives of the others
+    def of_several(batches, wanted: bool):
         import pyarrow as pa
 
-        for b in batches:
-            some = list(hashed(b, lambda i: i in bloom.value))
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], pa.int64()), pa.array([s.tobytes() for _, s in some], pa.binary())], names=["file_id", "sh"])
-
-    def stored(batches):
-        yield from _index(batches, shared, references, percent, lambda b: zip(b.column(0).to_pylist(), (np.frombuffer(s, np.uint64) for s in b.column(1).to_pylist()), strict=True))
-
-    again = texts.mapInArrow(doubtful, "file_id long, sh binary").dropDuplicates(["file_id"])
-    again = again.join(repeated.where("file_id <> rep").select("file_id"), "file_id", "left_anti")
-    index = texts.mapInArrow(direct, _INDEX).unionByName(again.select("file_id", "sh").mapInArrow(stored, _INDEX))
-    met = index.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _pairs(b, percent), "a long, b long, need int")
-    met = met.groupBy("a", "b").agg(F.count("*").alias("met"), F.max("need").alias("need")).where("met >= need").select("a", "b")
+        for batch in batches:
+            held = picked.value
+            if held is not None:
+                yield batch.filter(pa.array(_mask_of(held, batch) == wanted))
+            elif wanted:
+                yield batch
+
+    alone = sets.select("file_id", "sh").mapInArrow(lambda b: of_several(b, False), "file_id long, sh binary")
+    again = sets.select("file_id", "sh").mapInArrow(lambda b: of_several(b, True), "file_id long, sh binary").dropDuplicates(["file_id"])
+    again = again.join(repeated.where("file_id <> rep").select("file_id"), "file_id", "left_anti").select("file_id", "sh")
+
+    if by == "pivots":
+        reps = alone.unionByName(again)
+        met = _by_pivots(reps, references, percent, size.n_rows, folder)
+    else:
+        counts = np.zeros(1 << bits, np.int32)
+        for row in _merge(surveyed.where("block >= 0"), "add").collect():
+            counts[row.block * BLOCK : (row.block + 1) * BLOCK] = np.frombuffer(row.data, np.int32)
+        sketch = spark.sparkContext.broadcast(Sketch(counts, size.n))  # MOST_BITS at most
+        few = references[:JOIN_PIVOTS]
+        indexed = lambda df: df.mapInArrow(lambda b: _index(b, sketch, few, percent), _INDEX)
+        index = indexed(alone).unionByName(indexed(again))  # apart, so that what is alone flows on without an exchange
+        met = index.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _pairs(b, percent), "a long, b long, need int")
+        met = met.groupBy("a", "b").agg(F.count("*").alias("met"), F.max("need").alias("need")).where("met >= need").select("a", "b")
     met.write.parquet(f"{folder}/pairs")
     candidates = spark.read.schema("a long, b long").parquet(f"{folder}/pairs")
 
-    ends = candidates.select(F.explode(F.array("a", "b")).alias("file_id"))
-    wanted = spark.sparkContext.broadcast(Bloom.of(ends))
+    # whole sets of both
+    ends = candidates.select(F.explode(F.array("a", "b")).alias("file_id")).distinct()
+    wanted = spark.sparkContext.broadcast(Bloom.of(ends, ends.count()))
 
-    def again_hashed(batches):
+    def of_pairs(batches):
         import pyarrow as pa
 
-        for b in batches:
-            some = list(hashed(b, lambda i: i in wanted.value))
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], pa.int64()), pa.array([s.tobytes() for _, s in some], pa.binary())], names=["file_id", "sh"])
+        for batch in batches:
+            held = wanted.value
+            yield batch if held is None else batch.filter(pa.array(_mask_of(held, batch)))
 
-    kept = texts.mapInArrow(again_hashed, "file_id long, sh binary").dropDuplicates(["file_id"])
+    kept = sets.select("file_id", "sh").mapInArrow(of_pairs, "file_id long, sh binary").dropDuplicates(["file_id"])
     both = candidates.join(kept.toDF("a", "sa"), "a").join(kept.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
     links = cut(both.mapInArrow(lambda b: _verify(b, percent), "a long, b long, similarity double"))
-    return NearCopies(members, links)
+    return NearCopies(members_of, links)
+
+
+def _mask_of(bloom: Bloom, batch) -> np.ndarray:
+    """Which rows of a batch have an id that the filter may hold."""
+    return bloom.holds(batch.column(0).to_numpy(zero_copy_only=False))
+
+
+def p3_method(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_id_a, file_id_b): the pairs by the pivot table alone."""
+    return near_copies(table(spark, sf_dir, "dataset"), by="pivots").pairs()
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -416,7 +552,7 @@ def p3_five_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(table(spark, sf_dir, "dataset"), percent=80, width=5).per_file()
 
 
-QUERIES = {"p3_found": p3_found, "p3_files": p3_files, "p3_groups": p3_groups, "p3_five_words": p3_five_words}
+QUERIES = {"p3_method": p3_method, "p3_found": p3_found, "p3_files": p3_files, "p3_groups": p3_groups, "p3_five_words": p3_five_words}
 
 ORACLE = {
     "p3_found": """WITH f AS (SELECT DISTINCT ON (file_id) file_id, source_code FROM dataset WHERE length(source_code) >= 200),
@@ -426,3 +562,4 @@ n AS (SELECT file_id, count(*) AS n FROM s GROUP BY file_id),
 p AS (SELECT a.file_id AS a, b.file_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.file_id < b.file_id GROUP BY ALL)
 SELECT p.a AS file_id_a, p.b AS file_id_b FROM p JOIN n x ON x.file_id = p.a JOIN n y ON y.file_id = p.b WHERE 100 * k >= 65 * (x.n + y.n - k)"""
 }
+ORACLE["p3_method"] = ORACLE["p3_found"]

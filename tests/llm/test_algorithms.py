@@ -45,14 +45,22 @@ def corpus(seed, n=40):
     return texts
 
 
-@pytest.mark.parametrize(("seed", "percent"), [(1, 65), (2, 80)])
-def test_all_pairs_are_found(spark, seed, percent, monkeypatch):
+@pytest.mark.parametrize(("seed", "percent", "by"), [(1, 65, "prefix"), (2, 80, "prefix"), (1, 65, "pivots"), (5, 80, "pivots"), (1, 65, "saturated"), (2, 65, "joins")])
+def test_all_pairs_are_found(spark, seed, percent, by, monkeypatch):
     texts = corpus(seed) | {900: None, 901: "", 902: "a b", 903: "short text under the limit", 904: "!" * 300}
     rows = [(i, t, "x") for i, t in texts.items()] + [(0, texts[0], "y"), (10, texts[10], "y")]
     df = spark.createDataFrame([(i, None, t, o) for i, t, o in rows] + [(None, None, texts[0], "z")], "file_id long, new_path string, source_code string, rep string").repartition(3)
     monkeypatch.setattr(p3, "HOT", 5)  # so that the grid of block pairs is used as well
     monkeypatch.setattr(p3, "HOT_BLOCK", 2)
-    got = p3.near_copies(df, percent=percent)
+    monkeypatch.setattr(p3, "PIVOT_BLOCK", 7)
+    monkeypatch.setattr(p3, "COPIES_BLOCK", 2)
+    monkeypatch.setattr(p3, "MERGE_AT_ONCE", 1)
+    if by == "saturated":
+        monkeypatch.setattr(p3, "LOAD", 0.001)
+        monkeypatch.setattr(p3, "MOST_BITS", 16)
+    if by == "joins":
+        monkeypatch.setattr(p3, "MOST_BLOOM_BITS", 4)
+    got = p3.near_copies(df, percent=percent, by="pivots" if by == "pivots" else "prefix")
     pairs = [(r.file_id_a, r.file_id_b) for r in got.pairs().collect()]
     want = brute_pairs(texts, percent)
     assert len(pairs) == len(set(pairs)) and set(pairs) == want and want
@@ -62,6 +70,34 @@ def test_all_pairs_are_found(spark, seed, percent, monkeypatch):
     assert all(group[a] == group[b] for a, b in want)
 
 
+def test_a_full_sketch_adds_no_index_rows():
+    """With counters that hold millions of other shingles, a set keeps its prefix; only what is really frequent is spread."""
+    rng = np.random.default_rng(2)
+    load = 2_400_000
+    counts = rng.poisson(load, 1 << 16).astype(np.int32)
+    sh = np.unique(rng.integers(0, 2**63, 347).astype(np.uint64))
+    often = sh[100]
+    counts[p3._slot(np.array([often]), 16)[0]] += 500_000
+    sketch = p3.Sketch(counts, int(counts.sum()))
+    assert not sketch.exact
+    pivots = np.zeros((p3.JOIN_PIVOTS, p3.FINGERPRINT_WORDS), np.uint64)
+    rows = len(p3._prefix_rows(7, sh, sketch, pivots, 65)[0])
+    prefix = len(sh) - -(-65 * len(sh) // 100) + p3.MEETINGS
+    assert rows <= prefix  # the frequent shingle comes last in the order
+    few = p3.Sketch(np.full(1 << 16, 2, np.int32), 2 << 16)
+    assert few.exact and len(p3._prefix_rows(7, sh, few, pivots, 65)[0]) == prefix
+    assert p3._prefix_rows(7, sh, p3.Sketch(np.ones(1 << 16, np.int32), 1 << 16), pivots, 65) is None
+
+
+def test_classes_of_copies_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(p3, "COPIES_BLOCK", 3)
+    base = corpus(6)
+    texts = {k: base[0] for k in range(25)} | {100 + k: base[1] for k in range(11)}
+    df = spark.createDataFrame([(i, None, t) for i, t in texts.items()], "file_id long, new_path string, source_code string")
+    got = [tuple(r) for r in p3.near_copies(df).pairs().collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_pairs(texts, 65)
+
+
 def test_a_third_of_exact_copies(spark):
     texts = corpus(3) | {1000 + k: corpus(4)[0] for k in range(20)}
     df = spark.createDataFrame([(i, None, t) for i, t in texts.items()], "file_id long, new_path string, source_code string")
