@@ -5,15 +5,13 @@ from importlib import import_module
 MODULES = ("p01_languages", "p02_syntax", "p03_near_copies", "p04_credentials", "p05_generated", "p06_cutoffs", "p07_defects", "p08_tokens", "p09_packing", "p10_sentences")
 
 
+# Imported at once, so that whoever imports this package learns here whether a library is missing.
+_LOADED = [import_module(f"{__name__}.{name}") for name in MODULES]
+
+
 def queries() -> dict:
-    out: dict = {}
-    for name in MODULES:
-        out |= import_module(f"{__name__}.{name}").QUERIES
-    return out
+    return {name: query for module in _LOADED for name, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    out: dict[str, str] = {}
-    for name in MODULES:
-        out |= getattr(import_module(f"{__name__}.{name}"), "ORACLE", {})
-    return out
+    return {name: sql for module in _LOADED for name, sql in getattr(module, "ORACLE", {}).items()}
