@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import text
+from marginalia.functions.tokens import token_counts
 from marginalia.functions.udfs import p_value
+from marginalia.plans.session import cut
 
-from .records import is_finite
+from . import ranks
+from .records import all_results, is_finite, join_same
 
 
 def percent(part: Column, whole: Column, scale: float = 100.0) -> Column:
@@ -18,10 +21,10 @@ def percent(part: Column, whole: Column, scale: float = 100.0) -> Column:
     return F.coalesce(F.try_divide(part * F.lit(scale), whole), F.lit(0.0))
 
 
-def funnel(files: DataFrame, exits: Sequence[tuple[str, Column]]) -> DataFrame:
+def funnel(files: DataFrame, exits: Sequence[tuple[str, Column]], *more: Column) -> DataFrame:
     """AGG-1, AGG-2: each file leaves by the first exit whose condition holds, or is kept; one pass.
 
-    ``files`` has repo_name and commit_hash.
+    ``files`` has repo_name and commit_hash; ``more`` are further aggregates of the same pass.
     """
     why = F.coalesce(*(F.when(F.coalesce(cond, F.lit(False)), name) for name, cond in exits), F.lit("kept"))
     commit = F.struct("repo_name", "commit_hash")
@@ -36,6 +39,7 @@ def funnel(files: DataFrame, exits: Sequence[tuple[str, Column]]) -> DataFrame:
         F.count_distinct(commit).alias("raw_num_commits"),
         F.count_distinct(F.when(kept, F.col("repo_name"))).alias("num_repos"),
         F.count_distinct(F.when(kept, commit)).alias("num_commits"),
+        *more,
     )
 
 
@@ -55,6 +59,26 @@ def token_totals(rows: DataFrame, group: str, tokens: str) -> DataFrame:
     return out.withColumn("average_tokens", F.round("average_tokens", 6))
 
 
+def token_stats(generated: DataFrame, count: Callable[[Column], Column] = token_counts) -> DataFrame:
+    """AGG-8: per model and, with a null model, over all: tokens of outputs (once a result) and prompts (once a comment).
+
+    Results without a raw response are failures; they have no tokens.  Texts are counted as they are read, and only the
+    counts are moved.
+    """
+    comments = generated.select("file_id", F.explode("comment_generations").alias("c")).select("file_id", "c.type", "c.start_line", "c.end_line", F.md5("c.prompt").alias("h"), count(F.col("c.prompt")).alias("n"), F.col("c.prompt").isNotNull().alias("has"))
+    prompts = comments.where("has").dropDuplicates(["file_id", "type", "start_line", "end_line", "h"]).agg(F.count("*").alias("n_prompts"), F.coalesce(F.sum("n"), F.lit(0)).alias("prompt_tokens"), F.avg("n").alias("average_prompt_tokens"))
+    rows = all_results(generated, "raw_response").select("result_id", "model", F.col("raw_response").isNull().alias("failed"), count(F.col("raw_response")).alias("n")).dropDuplicates(["result_id"])
+    outputs = rows.rollup("model").agg(F.count_if(~F.col("failed")).alias("n_outputs"), F.count_if("failed").alias("n_failed"), F.coalesce(F.sum("n"), F.lit(0)).alias("output_tokens"), F.round(F.avg("n"), 6).alias("average_output_tokens"))
+    return outputs.crossJoin(prompts).withColumn("average_prompt_tokens", F.round("average_prompt_tokens", 6))  # one row of prompts
+
+
+def project_cost(stats: DataFrame, in_price: float, out_price: float) -> DataFrame:
+    """AGG-9: a completion of mean length for every prompt, at prices per million; ``stats`` is the row over all of ``token_stats``."""
+    into = F.col("prompt_tokens") / F.lit(1e6) * in_price
+    out = F.try_divide(F.col("output_tokens"), F.col("n_outputs")) * F.col("n_prompts") / F.lit(1e6) * out_price
+    return stats.select(F.round(into, 9).alias("input_cost"), F.round(F.coalesce(out, F.lit(0.0)), 9).alias("output_cost"), F.round(into + F.coalesce(out, F.lit(0.0)), 9).alias("total_cost"))
+
+
 def estimate_cost(prompt: Column, n_prompts: Column, output: Column, in_price: float, out_price: float) -> Column:
     """AGG-9: mean tokens times prompts at prices per million."""
     return prompt * n_prompts / 1e6 * in_price + output * n_prompts / 1e6 * out_price
@@ -63,18 +87,28 @@ def estimate_cost(prompt: Column, n_prompts: Column, output: Column, in_price: f
 def overflow_tally(prompts: DataFrame, limits: DataFrame) -> DataFrame:
     """AGG-10, JOIN-13: prompts over each limit; ``prompts`` has new_path and n_tokens, ``limits`` is a parameter table."""
     over = F.col("n_tokens") - F.col("capacity")
-    rows = prompts.crossJoin(F.broadcast(limits)).withColumn("over", F.when(over > 0, over))
+    rows = prompts.crossJoin(limits).withColumn("over", F.when(over > 0, over))
     paths = F.count_distinct("new_path") + F.max(F.when(F.col("new_path").isNull(), 1).otherwise(0))
     overflown = F.count_distinct(F.when(F.col("over").isNotNull(), F.col("new_path"))) + F.max(F.when(F.col("over").isNotNull() & F.col("new_path").isNull(), 1).otherwise(0))
-    return rows.groupBy("window_name", "capacity").agg(
+    key = ["window_name", "capacity"]
+    tally = rows.groupBy(*key).agg(
         F.count("*").alias("n_comments"), F.count("over").alias("n_overflows"), F.round(percent(F.count("over"), F.count("*")), 6).alias("overflow_percentage"),
-        F.bround(F.median("over"), 0).cast("long").alias("median_overflow"), F.max("over").cast("long").alias("worst_overflow"), paths.alias("n_paths"), overflown.alias("n_overflow_paths"),
+        F.max("over").cast("long").alias("worst_overflow"), paths.alias("n_paths"), overflown.alias("n_overflow_paths"),
     )
+    middle = ranks.medians(rows, key, "over", "middle")
+    both = join_same(tally, middle, key, "left")
+    return both.select(*key, "n_comments", "n_overflows", "overflow_percentage", F.bround("middle", 0).cast("long").alias("median_overflow"), "worst_overflow", "n_paths", "n_overflow_paths")
 
 
 def metric_summary(long: DataFrame, digits: int = 9) -> DataFrame:
-    """AGG-12, ORD-7: count, mean and median of each metric per model."""
-    return long.groupBy("model", "metric").agg(F.count("*").alias("n"), F.round(F.avg("score"), digits).alias("mean_score"), F.round(F.median("score"), digits).alias("median_score"))
+    """AGG-12, ORD-7: count, mean and median of each metric per model, models in order."""
+    key = ["model", "metric"]
+    counts = ranks.running(ranks.counted(long, key, "score"), key, "score")
+    total = F.col("_total")
+    low, high = ranks.at_rank("score", F.floor((total + 1) / 2)), ranks.at_rank("score", F.floor(total / 2) + 1)
+    n = F.sum("_n")
+    out = counts.groupBy(*key).agg(n.alias("n"), F.round(F.sum(F.col("score") * F.col("_n")) / n, digits).alias("mean_score"), F.round((low + high) / 2, digits).alias("median_score"))
+    return out.orderBy(*key)
 
 
 def corpus_bleu(pairs: DataFrame, group: str, order: int = 4) -> DataFrame:
@@ -93,31 +127,27 @@ def corpus_bleu(pairs: DataFrame, group: str, order: int = 4) -> DataFrame:
     return rows.select(*out)
 
 
-def average_rank(value: str, *group: str) -> Column:
-    """WIN-3: mean rank of equal values.  A window per group: use ``spearman_ranks`` where a group may be large."""
-    w = Window.partitionBy(*group)
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*group, value)) - 1) / 2
-
-
-def spearman_ranks(rows: DataFrame, group: Sequence[str], value: str, name: str) -> DataFrame:
-    """WIN-3 for hot groups: values are counted first, so a window runs over distinct values only."""
-    counts = rows.groupBy(*group, value).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranks = counts.withColumn(name, F.sum("_n").over(w) - (F.col("_n") - 1) / 2).drop("_n")
-    return rows.join(ranks, [*group, value])
-
-
 def correlations(rows: DataFrame, group: Sequence[str], x: str, y: str) -> DataFrame:
-    """AGG-14, FIL-16: Pearson and Spearman with two-sided p, and a status where they cannot be had."""
-    good = rows.where(is_finite(F.col(x).cast("double")) & is_finite(F.col(y).cast("double"))).select(*group, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    ranked = spearman_ranks(spearman_ranks(good, group, "x", "rx"), group, "y", "ry")
+    """AGG-14, FIL-16, WIN-3: Pearson and Spearman with two-sided p, and a status where they cannot be had.
 
-    def r(a: str, b: str) -> Column:
-        value = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    Equal pairs are counted first and the counts written, as means, ranks and sums all read them.
+    """
+    good = rows.where(is_finite(F.col(x).cast("double")) & is_finite(F.col(y).cast("double"))).select(*group, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    pairs = cut(good.groupBy(*group, "x", "y").agg(F.count("*").alias("n")))
+    n = F.col("n")
+    ends = pairs.groupBy(*group).agg((F.sum(F.col("x") * n) / F.sum(n)).alias("mx"), (F.sum(F.col("y") * n) / F.sum(n)).alias("my"), (F.sum(n) / 2 + 0.5).alias("mr"), ((F.min("x") == F.max("x")) | (F.min("y") == F.max("y"))).alias("flat"))
+    rx = ranks.average_ranks(ranks.counted(pairs, group, "x", "n"), group, "x", "rx")
+    ry = ranks.average_ranks(ranks.counted(pairs, group, "y", "n"), group, "y", "ry")
+    ranked = pairs
+    for other, on in ((rx, [*group, "x"]), (ry, [*group, "y"]), (ends, group)):
+        ranked = join_same(ranked, other, on)
+
+    def r(a: str, b: str, ma: str, mb: str) -> Column:
+        da, db = F.col(a) - F.col(ma), F.col(b) - F.col(mb)
+        value = F.try_divide(F.sum(n * da * db), F.sqrt(F.sum(n * da * da)) * F.sqrt(F.sum(n * db * db)))
         return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value))
 
-    flat = (F.min("x") == F.max("x")) | (F.min("y") == F.max("y"))
-    got = ranked.groupBy(*group).agg(F.count("*").alias("n"), flat.alias("flat"), r("x", "y").alias("p"), r("rx", "ry").alias("s"))
+    got = ranked.groupBy(*group).agg(F.sum("n").alias("n"), F.any_value("flat").alias("flat"), r("x", "y", "mx", "my").alias("p"), r("rx", "ry", "mr", "mr").alias("s"))
     usable = (F.col("n") >= 2) & ~F.col("flat")
     status = F.when(F.col("n") < 2, "insufficient_data").when(F.col("flat"), "constant_input").when(F.col("n") == 2, "spearman_p_value_unavailable").otherwise("ok")
     pearson, spearman = F.when(usable, F.col("p")), F.when(usable, F.col("s"))
@@ -128,18 +158,22 @@ def correlations(rows: DataFrame, group: Sequence[str], x: str, y: str) -> DataF
 
 
 def nearest_rank(long: DataFrame, group: Sequence[str], value: str, fraction: float) -> DataFrame:
-    """AGG-16, AGG-17, FIL-20: the score of rank ``ceil(f n)`` and how many lie at or below it.
+    """AGG-16, FIL-20: the score of rank ``ceil(f n)`` and how many lie at or below it."""
+    if not 0 < fraction <= 1:
+        raise ValueError(f"a fraction lies above 0 and is 1 at most, not {fraction}")
+    run = ranks.running(ranks.counted(long, group, value), group, value)
+    hit = run.where(F.col("_before") + F.col("_n") >= F.ceil(F.lit(fraction) * F.col("_total")))
+    return hit.groupBy(*group).agg(F.any_value("_total").alias("n"), F.min(value).alias("threshold"), F.min(F.col("_before") + F.col("_n")).alias("n_candidates"))
 
-    Equal scores are counted first; the running sum then goes over distinct scores of a group only.
-    """
-    counts = long.groupBy(*group, value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*group)
-    run = counts.withColumn("_r", F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("_n", F.sum("_c").over(w))
-    hit = run.where(F.col("_r") >= F.ceil(F.lit(fraction) * F.col("_n")))
-    return hit.groupBy(*group).agg(F.any_value("_n").alias("n"), F.min(value).alias("threshold"), F.min("_r").alias("n_candidates"))
+
+def require_candidates(limits: DataFrame, group: str, quota: int) -> None:
+    """AGG-17: every group has at least ``quota`` candidates; raises with the first groups that have fewer."""
+    few = limits.where(F.col("n_candidates") < quota).orderBy(group).select(group, "n_candidates").limit(20).collect()
+    if few:
+        raise ValueError("too few candidates: " + ", ".join(f"{r[0]} has {r[1]} of {quota}" for r in few))
 
 
-def seeded_sample(rows: DataFrame, group: str, key: str, quota: int, seed: int = 0) -> DataFrame:
+def seeded_sample(rows: DataFrame, group: str, key: str, quota: int | Column, seed: int = 0) -> DataFrame:
     """SAMP-1, SAMP-2: exactly ``quota`` rows per group by a seeded hash; the same rows for any partitioning.
 
     Each partition of a salt first keeps its own best ``quota``, so no task sees a hot group whole.
@@ -170,8 +204,8 @@ def density_histogram(long: DataFrame, bins: int = 50) -> DataFrame:
 
 def islands(rows: DataFrame, group: Sequence[str], value: str) -> DataFrame:
     """WIN-1, WIN-2: runs of consecutive integers as (first, last)."""
-    w = Window.partitionBy(*group).orderBy(value)
-    marked = rows.select(*group, value).distinct().withColumn("_i", F.col(value) - F.row_number().over(w))
+    placed = ranks.running(ranks.counted(rows, group, value).withColumn("_n", F.lit(1).cast("long")), group, value)
+    marked = placed.select(*group, value, (F.col(value) - F.col("_before")).alias("_i"))
     return marked.groupBy(*group, "_i").agg(F.min(value).alias("first"), F.max(value).alias("last")).drop("_i")
 
 

@@ -55,12 +55,17 @@ def missing_numbers(present: DataFrame, column: str, upper: int | None = None) -
     return every.join(present.select(F.col(column).cast("long").alias("task_id")), "task_id", "left_anti")
 
 
-def distinct_union(frames: Sequence[DataFrame]) -> DataFrame:
-    """SET-1, SET-3."""
+def all_of(frames: Sequence[DataFrame]) -> DataFrame:
+    """SET-1."""
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
-    return out.distinct()
+    return out
+
+
+def distinct_union(frames: Sequence[DataFrame]) -> DataFrame:
+    """SET-3."""
+    return all_of(frames).distinct()
 
 
 def latest(log: DataFrame, key: str, *order: str) -> DataFrame:

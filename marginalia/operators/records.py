@@ -28,6 +28,15 @@ def same_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     return out
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """``left`` with the other columns of ``right`` where all keys are equal or both null; frames of one origin may meet."""
+    renamed = right.select(*(F.col(k).alias(f"_same_{k}") for k in keys), *(c for c in right.columns if c not in keys))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_same_{k}"))
+    return left.join(renamed, on, how).drop(*(f"_same_{k}" for k in keys))
+
+
 def model_name(model: Column) -> Column:
     return F.when(F.coalesce(model, F.lit("")) == "", UNKNOWN_MODEL).otherwise(model)
 
@@ -40,7 +49,12 @@ def target_comments(dataset: DataFrame, *fields: str) -> DataFrame:
 
 
 def results(generated: DataFrame, *fields: str, **computed: Column) -> DataFrame:
-    """PRJ-7 on a run: one row per result; ``fields`` are of the result or, with a dot, of its comment.
+    """PRJ-7 on a run: one row per result, those delivered twice once; see ``all_results``."""
+    return all_results(generated, *fields, **computed).dropDuplicates(["result_id"])
+
+
+def all_results(generated: DataFrame, *fields: str, **computed: Column) -> DataFrame:
+    """A row for each result as often as it was delivered; ``fields`` are of the result or, with a dot, of its comment.
 
     ``computed`` columns are made of ``r`` and ``c`` before duplicates go, so that long texts need not be carried.
     """
@@ -48,7 +62,7 @@ def results(generated: DataFrame, *fields: str, **computed: Column) -> DataFrame
     picked = [F.col(f"c.{f[1:]}").alias(f[1:]) if f[0] == "." else F.col(f"r.{f}").alias(f) for f in fields]
     picked += [value.alias(name) for name, value in computed.items()]
     out = rows.select("file_id", F.col("r.result_id").alias("result_id"), model_name(F.col("r.model")).alias("model"), *picked)
-    return out.where(F.col("result_id").isNotNull()).dropDuplicates(["result_id"])
+    return out.where(F.col("result_id").isNotNull())
 
 
 def eligible_files(suffix: str = ".py", change_types: Sequence[str] = ("MODIFY",)) -> Column:
@@ -57,15 +71,18 @@ def eligible_files(suffix: str = ".py", change_types: Sequence[str] = ("MODIFY",
     return F.coalesce(F.col("new_path").endswith(suffix) & F.col("change_type").isin(*change_types) & present, F.lit(False))
 
 
-def is_target(c: Column) -> Column:
-    """FIL-8 on a comment struct."""
+INTENTS = ("what", "why", "how")
+
+
+def is_target(c: Column, intent: Column | None = None) -> Column:
+    """FIL-8 on a comment struct; ``intent``, where comments are labelled, has to be one of INTENTS or null."""
     body = c["comment"]
     plain = ~text.is_directive(body) & text.has_letter(body) & ~text.is_separator(body) & text.is_ascii(body)
-    return F.coalesce(c["type"].isin("inline", "block") & (c["status"] == "added") & body.isNotNull() & plain, F.lit(False))
+    return F.coalesce(c["type"].isin("inline", "block") & (c["status"] == "added") & body.isNotNull() & plain & (F.lit(True) if intent is None else intent.isNull() | intent.isin(*INTENTS)), F.lit(False))
 
 
 def fits(prompt: Column, capacity: Column, reserve: int = 512, overhead: int = 8) -> Column:
-    """FIL-9 without a tokenizer: a token holds at least one byte, so bytes bound tokens from above."""
+    """FIL-9's bound: a token holds at least one byte, so what fits by bytes fits by tokens; others need ``tokens.token_counts``."""
     return F.octet_length(prompt) + overhead <= capacity - reserve
 
 
@@ -80,6 +97,21 @@ def is_scorable(error: Column, prediction: Column, reference: Column) -> Column:
     return (F.coalesce(error, F.lit("")) == "") & F.coalesce(left, F.lit(False))
 
 
+ANNOTATION_VIEWS = ("all", "todo", "done", "untagged")
+
+
+def in_view(view: str, tag: str | None = None) -> Column:
+    """FIL-21 on latest annotations with done and tags: one of ANNOTATION_VIEWS, or ``tag`` with the tag."""
+    n_tags = F.coalesce(F.size("tags"), F.lit(0))
+    done = F.coalesce(F.col("done"), F.lit(False))
+    views = {"all": F.lit(True), "todo": ~done, "done": done, "untagged": n_tags <= 0}
+    if view == "tag":
+        return F.coalesce(F.array_contains("tags", tag), F.lit(False))
+    if view not in views:
+        raise ValueError(f"{view} is none of {', '.join(ANNOTATION_VIEWS)} or tag")
+    return views[view]
+
+
 def unpivot_scores(rows: DataFrame, *keep: str) -> DataFrame:
     """PRJ-8: one row per metric that has a value."""
     long = rows.select(*keep, F.inline(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(f"scores.{m}").alias("score")) for m in SCORES))))

@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.functions import code, text, udfs
+from marginalia.functions import code, text, tokens, udfs
 from marginalia.operators import aggregates as agg
 from marginalia.operators import joins
 from marginalia.operators import records as rec
 from marginalia.plans import pipelines
-from marginalia.plans.session import cut, spread, widen
+from marginalia.plans.session import apart, cut, widen
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -56,6 +56,44 @@ _SEPARATOR_SQL = " OR ".join(f"contains(c.comment, '{(ch if ch != chr(39) else c
 _TARGET_SQL = f"""(c.type IN ('inline', 'block') AND c.status = 'added' AND c.comment IS NOT NULL AND NOT {_DIRECTIVE_SQL}
   AND regexp_matches(c.comment, '\\p{{L}}') AND NOT ({_SEPARATOR_SQL}) AND regexp_matches(c.comment, '^[\\x00-\\x7F]*$') AND NOT regexp_matches(c.comment, '[^\\x00-\\x7F]'))"""
 
+def _plain_sql(x: str) -> str:
+    """STR-1 in SQL."""
+    strip = lambda y: f"regexp_replace({y}, '^{_BLANK_SQL}+|{_BLANK_SQL}+$', '', 'g')"
+    lines = f"list_transform(regexp_split_to_array({x}, '\\r\\n|[\\n\\r\\x0b\\x0c]'), lambda ln: regexp_replace({strip('ln')}, '^#+', ''))"
+    return strip(f"regexp_replace(array_to_string({lines}, ' '), '{_BLANK_SQL}+', ' ', 'g')")
+
+
+_SCORABLE = f"""scorable AS (SELECT * FROM (SELECT result_id, model, {_plain_sql("coalesce(r.comment_text, '')")} AS p, {_plain_sql("coalesce(c.comment, '')")} AS q FROM results WHERE coalesce(r.error, '') = '') WHERE p <> '' AND q <> '')"""
+
+
+def _tokens_sql(x: str) -> str:
+    """The words of TXT-1 in SQL: punctuation apart, except between digits."""
+    for a, b in (("<skipped>", ""), ("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
+        x = f"replace({x}, '{a}', '{b}')"
+    x = f"' ' || {x} || ' '"
+    for a, b in ((r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", r" \1 "), (r"([^0-9])([\.,])", r"\1 \2 "), (r"([\.,])([^0-9])", r" \1 \2"), (r"([0-9])(-)", r"\1 \2 ")):
+        x = f"regexp_replace({x}, '{a}', '{b}', 'g')"
+    return f"list_filter(regexp_split_to_array({x}, '{_BLANK_SQL}+'), lambda w: w <> '')"
+
+
+def _grams_sql(words: str, n: int) -> str:
+    return f"list_transform(range(1, len({words}) - {n} + 2), lambda i: array_to_string({words}[i : i + {n} - 1], ' '))"
+
+
+_BLEU_SQL = f"""{_SCORABLE}, words AS (SELECT result_id, model, {_tokens_sql("p")} AS a, {_tokens_sql("q")} AS b FROM scorable),
+grams AS ({" UNION ALL ".join(f"SELECT result_id, {n} AS n, 1 AS own, unnest({_grams_sql('a', n)}) AS g FROM words UNION ALL SELECT result_id, {n}, 0, unnest({_grams_sql('b', n)}) FROM words" for n in range(1, 5))}),
+counts AS (SELECT result_id, n, g, sum(own) AS x, sum(1 - own) AS y FROM grams GROUP BY ALL),
+matches AS (SELECT result_id, n, sum(least(x, y)) AS m, sum(x) AS k FROM counts GROUP BY ALL),
+wide AS (SELECT w.result_id, w.model, len(a) AS c, len(b) AS r, {", ".join(f"coalesce(max(m) FILTER (WHERE n = {n}), 0) AS m{n}, coalesce(max(k) FILTER (WHERE n = {n}), 0) AS k{n}" for n in range(1, 5))} FROM words w LEFT JOIN matches USING (result_id) GROUP BY ALL)"""
+
+
+def _bleu_sql(n: int) -> str:
+    """The score of one order from columns m1.., k1.., c and r."""
+    none = " OR ".join(f"m{i} = 0 OR k{i} = 0" for i in range(1, n + 1))
+    logs = " + ".join(f"ln(m{i}::DOUBLE / k{i})" for i in range(1, n + 1))
+    return f"CASE WHEN {none} THEN 0.0 ELSE (CASE WHEN c > r THEN 1.0 ELSE exp(1 - r::DOUBLE / c) END) * exp(({logs}) / {n}) END"
+
+
 # ---- filters
 
 
@@ -85,7 +123,7 @@ def fil5_to_7_shapes(spark, sf_dir):
 @query(f"WITH {_TARGETS} SELECT file_id, count(*) AS n_targets FROM targets WHERE {_TARGET_SQL} GROUP BY file_id")
 def fil8_targets(spark, sf_dir):
     files = rec.once(_t(spark, sf_dir, "dataset"), "file_id", "target_comments")
-    return files.select("file_id", F.size(F.filter("target_comments", rec.is_target)).cast("long").alias("n_targets")).where("n_targets > 0")
+    return files.select("file_id", F.size(F.filter("target_comments", lambda c: rec.is_target(c))).cast("long").alias("n_targets")).where("n_targets > 0")
 
 
 @query(f"WITH {_TARGETS} SELECT file_id, pos, bool_and(octet_length(encode(c.prompt)) + 8 <= w.capacity - 512) AS fits_all FROM targets, context_windows w WHERE c.prompt IS NOT NULL AND w.capacity > 512 GROUP BY file_id, pos")
@@ -131,9 +169,21 @@ def fil19_scored(spark, sf_dir):
     return r.groupBy("model").agg(F.count_if(ok).alias("n_scored"), F.count_if(F.col("scores").isNull()).alias("n_unscored"))
 
 
-@query("SELECT id, len(tags) AS n_tags FROM annotations WHERE NOT done AND len(tags) = 0 GROUP BY ALL")
-def fil21_untagged_todo(spark, sf_dir):
-    return _t(spark, sf_dir, "annotations").where(~F.col("done") & (F.size("tags") == 0)).select("id", F.size("tags").cast("long").alias("n_tags")).distinct()
+_LATEST_SQL = "latest AS (SELECT id, x.tags AS tags, x.done AS done FROM (SELECT id, arg_max(struct_pack(tags := tags, done := done), (updated_at, coalesce(notes, ''), coalesce(done, false), coalesce(tags, []))) AS x FROM annotations GROUP BY id))"
+
+
+def _latest_annotations(spark, sf_dir):
+    log = _t(spark, sf_dir, "annotations").withColumn("n", F.coalesce("notes", F.lit(""))).withColumn("d", F.coalesce("done", F.lit(False))).withColumn("t", F.coalesce("tags", F.array().cast("array<string>")))
+    return joins.latest(log.select("id", "tags", "done", "updated_at", "n", "d", "t"), "id", "updated_at", "n", "d", "t").select("id", "tags", "done")
+
+
+@query(f"""WITH {_LATEST_SQL}, v AS (SELECT id, 'all' AS view FROM latest UNION ALL SELECT id, 'todo' FROM latest WHERE NOT coalesce(done, false) UNION ALL SELECT id, 'done' FROM latest WHERE done
+UNION ALL SELECT id, 'untagged' FROM latest WHERE coalesce(len(tags), 0) = 0) SELECT view, id FROM v""")
+def fil21_views(spark, sf_dir):
+    """FIL-21, AGG-20: the annotated items of each view."""
+    latest = _latest_annotations(spark, sf_dir)
+    views = F.filter(F.array(*(F.when(rec.in_view(v), F.lit(v)) for v in rec.ANNOTATION_VIEWS)), lambda v: v.isNotNull())
+    return latest.select(F.explode(views).alias("view"), "id")
 
 
 # ---- unnesting
@@ -273,32 +323,46 @@ def agg12_metric_summary(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir):
-    r = rec.results(_t(spark, sf_dir, "generated_scored"), "error", "comment_text", ".comment")
-    r = r.where(rec.is_scorable(F.col("error"), F.col("comment_text"), F.col("comment")))
-    return spread(r).select("result_id", "model", udfs.pair_scores(text.normalize_comment("comment_text"), text.normalize_comment("comment")).alias("s")).select("result_id", "model", "s.*")
+    rows = rec.all_results(_t(spark, sf_dir, "generated_scored"), "error", "comment_text", ".comment")
+    r = apart(rows, "result_id").where(rec.is_scorable(F.col("error"), F.col("comment_text"), F.col("comment")))
+    return r.select("result_id", "model", udfs.pair_scores(text.normalize_comment("comment_text"), text.normalize_comment("comment")).alias("s")).select("result_id", "model", "s.*")
 
 
-@query()
+@query(f"""WITH {_RESULTS}, {_BLEU_SQL}, corpus AS (SELECT model, sum(c) AS c, sum(r) AS r, {", ".join(f"sum(m{n}) AS m{n}, sum(k{n}) AS k{n}" for n in range(1, 5))} FROM wide GROUP BY model)
+SELECT model, {", ".join(f"round({_bleu_sql(n)}, 7) AS bleu{n}_corpus" for n in range(1, 5))} FROM corpus""")
 def agg13_corpus_bleu(spark, sf_dir):
-    return agg.corpus_bleu(_pairs(spark, sf_dir), "model")
+    got = agg.corpus_bleu(_pairs(spark, sf_dir), "model")
+    return got.select("model", *(F.round(c, 7).alias(c) for c in got.columns if c != "model"))
 
 
 def _code_metrics(generated):
     """(code_key, m): the metrics of each distinct prompt code, under its digest."""
     codes = generated.select(F.explode("comment_generations.prompt_code").alias("code")).where("code IS NOT NULL")
-    codes = codes.groupBy(F.md5("code").alias("code_key")).agg(F.any_value("code").alias("code"))
-    return spread(codes).select("code_key", code.complexity("code").alias("m"))
+    return apart(codes.select(F.md5("code").alias("code_key"), "code"), "code_key").select("code_key", code.complexity("code").alias("m"))
 
 
-@query()
-def agg14_correlations(spark, sf_dir):
-    """Every model, every score, every code metric of the prompt code."""
+def _score_grid(spark, sf_dir, names):
+    """Every result's scores beside the metrics ``names`` of its prompt code, unpivoted on both sides."""
     g = _t(spark, sf_dir, "generated_scored")
     r = rec.results(g, "scores", code_key=F.md5("c.prompt_code")).where("code_key IS NOT NULL")
     long = rec.unpivot_scores(r.join(_code_metrics(g), "code_key"), "model", "m")
-    names = code.METRICS
-    grid = long.select("model", "metric", "score", F.inline(F.array(*(F.struct(F.lit(n).alias("code_metric"), F.col(f"m.{n}").cast("double").alias("value")) for n in names))))
-    return agg.correlations(grid, ["model", "metric", "code_metric"], "score", "value")
+    return long.select("model", "metric", "score", F.inline(F.array(*(F.struct(F.lit(n).alias("code_metric"), F.col(f"m.{n}").cast("double").alias("value")) for n in names))))
+
+
+@query()
+def agg14_correlations(spark, sf_dir):
+    """Every model, every score, every code metric of the prompt code."""
+    return agg.correlations(_score_grid(spark, sf_dir, code.METRICS), ["model", "metric", "code_metric"], "score", "value")
+
+
+@query(f"""WITH {_RESULTS}, {_LONG}, codes AS (SELECT result_id, len(regexp_split_to_array(regexp_replace(c.prompt_code, '\n$', ''), '\n')) AS v FROM results WHERE c.prompt_code IS NOT NULL AND c.prompt_code <> ''),
+x AS (SELECT l.model, l.metric, l.score AS x, v::DOUBLE AS y FROM long l JOIN codes USING (result_id)),
+k AS (SELECT *, rank() OVER (PARTITION BY model, metric ORDER BY x) + (count(*) OVER (PARTITION BY model, metric, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY model, metric ORDER BY y) + (count(*) OVER (PARTITION BY model, metric, y) - 1) / 2.0 AS ry FROM x)
+SELECT model, metric, count(*) AS n, CASE WHEN count(*) > 1 AND min(x) < max(x) AND min(y) < max(y) THEN round(corr(x, y), 7) END AS pearson_r, CASE WHEN count(*) > 1 AND min(x) < max(x) AND min(y) < max(y) THEN round(corr(rx, ry), 7) END AS spearman_r FROM k GROUP BY model, metric""")
+def agg14_score_by_lines(spark, sf_dir):
+    """The part of the grid that SQL can say: every model and score against the lines of the prompt code (CODE-5)."""
+    c = agg.correlations(_score_grid(spark, sf_dir, ["lines_of_code"]), ["model", "metric"], "score", "value")
+    return c.select("model", "metric", "n", F.round("pearson_r", 7).alias("pearson_r"), F.round("spearman_r", 7).alias("spearman_r"))
 
 
 @query("""WITH x AS (SELECT l_returnflag, l_quantity AS x, l_extendedprice AS y FROM lineitem),
@@ -319,14 +383,9 @@ def agg16_nearest_rank(spark, sf_dir):
     return agg.nearest_rank(long, ["model", "metric"], "score", 0.2)
 
 
-@query(f"WITH {_FILES} SELECT repo_name, count(*) AS n_items FROM files GROUP BY repo_name ORDER BY n_items DESC, repo_name LIMIT 20")
-def agg18_items_per_repo(spark, sf_dir):
-    return rec.once(_t(spark, sf_dir, "dataset"), "file_id", "repo_name").groupBy("repo_name").agg(F.count("*").alias("n_items")).orderBy(F.desc("n_items"), "repo_name").limit(20)
-
-
 @query(f"WITH {_FILES} SELECT repo_name, count(*) AS n_items FROM files WHERE file_id IS NOT NULL GROUP BY repo_name ORDER BY n_items DESC, repo_name")
-def agg18_all_items_per_repo(spark, sf_dir):
-    """AGG-18 for every repository; ``agg18_items_per_repo`` has its first 20 rows, as its SQL does."""
+def agg18_items_per_repo(spark, sf_dir):
+    """AGG-18 for every repository, most common first."""
     return rec.once(_t(spark, sf_dir, "dataset"), "file_id", "repo_name").groupBy("repo_name").agg(F.count("*").alias("n_items")).orderBy(F.desc("n_items"), "repo_name")
 
 
@@ -398,25 +457,28 @@ def part3_size_stride(spark, sf_dir):
     return ranked.join(F.broadcast(before), "part").select("id", "full_name", pos.alias("pos"), (pos % 4).alias("task"))
 
 
-@query()
+_CRC_SQL = """xor(list_reduce(list_concat([4294967295], list_transform(string_split(concat_ws('@', repo_name, commit_hash), ''), lambda ch: ord(ch)::BIGINT)),
+  lambda crc, b: list_reduce(list_concat([xor(crc, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda v, unused: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295)"""
+
+
+@query(f"SELECT DISTINCT file_id, ({_CRC_SQL} % 8)::BIGINT AS task FROM dataset WHERE repo_name IS NOT NULL AND commit_hash IS NOT NULL")
 def part1_commit_hash(spark, sf_dir):
     """PART-1: tasks by CRC-32 of repository and commit."""
     task = F.crc32(F.concat_ws("@", "repo_name", "commit_hash").cast("binary")) % 8
-    return _t(spark, sf_dir, "dataset").select("file_id", task.alias("task")).distinct()
+    return _t(spark, sf_dir, "dataset").where("repo_name IS NOT NULL AND commit_hash IS NOT NULL").select("file_id", task.alias("task")).distinct()
 
 
-@query(f"WITH {_FILES} SELECT file_id % 3 AS task, count(*) AS n FROM files WHERE file_id < 300 GROUP BY task")
+@query(f"WITH {_FILES} SELECT file_id % 3 AS task, count(*) AS n FROM files WHERE file_id IS NOT NULL GROUP BY task")
 def part2_stride(spark, sf_dir):
-    """PART-2, ORD-5: the first 300 positions, then every third; file_id is the position in the input."""
-    files = _t(spark, sf_dir, "dataset").select("file_id").distinct().where("file_id < 300")
+    """PART-2: every third position over all files; file_id is the position in the input."""
+    files = _t(spark, sf_dir, "dataset").select("file_id").where("file_id IS NOT NULL").distinct()
     return files.groupBy((F.col("file_id") % 3).alias("task")).agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_FILES} SELECT file_id % 3 AS task, count(*) AS n FROM files WHERE file_id IS NOT NULL GROUP BY task")
-def part2_all_stride(spark, sf_dir):
-    """PART-2 over all files; ``part2_stride`` has ORD-5's first 300 only, as its SQL does."""
-    files = _t(spark, sf_dir, "dataset").select("file_id").where("file_id IS NOT NULL").distinct()
-    return files.groupBy((F.col("file_id") % 3).alias("task")).agg(F.count("*").alias("n"))
+@query(f"WITH {_FILES} SELECT file_id, repo_name FROM files WHERE file_id IS NOT NULL ORDER BY file_id LIMIT 300")
+def ord5_first_records(spark, sf_dir):
+    """ORD-5, ORD-6: the first 300 records in input order, which is the feature (``max_generate``, ``max_repos``)."""
+    return rec.once(_t(spark, sf_dir, "dataset"), "file_id", "repo_name").orderBy("file_id").limit(300)
 
 
 @query(_NEAREST + ", cand AS (SELECT l.model, l.result_id FROM cut c JOIN long l USING (model, metric) WHERE metric = 'rougeL' AND l.score <= c.threshold AND NOT starts_with(model, '<')), z AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY md5('7:' || result_id), result_id) AS i FROM cand) SELECT model, result_id FROM z WHERE i <= 20")
@@ -427,14 +489,9 @@ def samp2_seeded_sample(spark, sf_dir):
     return agg.seeded_sample(candidates.select("model", "result_id"), "model", "result_id", 20, 7)
 
 
-@query("SELECT v AS task_id FROM range(15000) t(v) WHERE v NOT IN (SELECT l_orderkey FROM lineitem)")
-def set2_missing(spark, sf_dir):
-    return joins.missing_numbers(_t(spark, sf_dir, "lineitem"), "l_orderkey", 15000)
-
-
 @query("SELECT task_id FROM (SELECT unnest(range(CAST((SELECT max(l_orderkey) + 1 FROM lineitem) AS BIGINT))) AS task_id) WHERE task_id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey IS NOT NULL)")
-def set2_all_missing(spark, sf_dir):
-    """SET-2 over all numbers up to the largest; ``set2_missing`` ends at 15 000, as its SQL does."""
+def set2_missing(spark, sf_dir):
+    """SET-2: all numbers up to the largest that do not occur."""
     return joins.missing_numbers(_t(spark, sf_dir, "lineitem"), "l_orderkey")
 
 
@@ -452,20 +509,39 @@ def str1_normalize(spark, sf_dir):
     return rec.target_comments(_t(spark, sf_dir, "dataset"), "comment").select("file_id", "pos", text.normalize_comment("comment").alias("plain"))
 
 
-@query()
+def _peel_sql(x: str) -> str:
+    """One layer of STR-2 in SQL: a fence, else a tag that is closed by its own name."""
+    fenced = f"regexp_full_match({x}, '(?s)```[^\\n]*\\n.*?```')"
+    inner = f"regexp_extract({x}, '(?s)^```[^\\n]*\\n(.*?)\\n?```$', 1)"
+    tag = f"regexp_extract({x}, '^<([A-Za-z][\\w-]*)(?:\\s[^>]*)?>', 1)"
+    body = f"regexp_extract({x}, '(?s)^<[A-Za-z][\\w-]*(?:\\s[^>]*)?>(.*)</[A-Za-z][\\w-]*>$', 1)"
+    peeled = f"CASE WHEN {fenced} THEN {inner} WHEN {tag} <> '' AND ends_with({x}, '</' || {tag} || '>') THEN {body} ELSE {x} END"
+    return f"regexp_replace({peeled}, '^{_BLANK_SQL}+|{_BLANK_SQL}+$', '', 'g')"
+
+
+@query(f"""WITH {_RESULTS}, t0 AS (SELECT result_id, regexp_replace(r.raw_response, '^{_BLANK_SQL}+|{_BLANK_SQL}+$', '', 'g') AS t FROM results WHERE r.raw_response IS NOT NULL),
+t1 AS (SELECT result_id, {_peel_sql("t")} AS t FROM t0), t2 AS (SELECT result_id, {_peel_sql("t")} AS t FROM t1), t3 AS (SELECT result_id, {_peel_sql("t")} AS t FROM t2), t4 AS (SELECT result_id, {_peel_sql("t")} AS t FROM t3)
+SELECT result_id, md5(t) AS unwrapped FROM t4""")
 def str2_unwrap(spark, sf_dir):
-    """Native layers and the unlimited function agree on every response."""
-    r = rec.results(_t(spark, sf_dir, "generated_scored"), "raw_response")
-    same = r.select("model", text.unwrap("raw_response").eqNullSafe(udfs.unwrap_all("raw_response")).alias("same"))
-    return same.groupBy("model").agg(F.count("*").alias("n"), F.count_if("same").alias("n_equal"))
+    """STR-2 to its fixpoint."""
+    r = rec.results(_t(spark, sf_dir, "generated_scored"), "raw_response").where("raw_response IS NOT NULL")
+    return r.select("result_id", F.md5(udfs.unwrap_all("raw_response")).alias("unwrapped"))
 
 
-@query()
+def _id_sql(model: str) -> str:
+    """STR-6 in SQL."""
+    texts = [f"coalesce(to_json({c})::VARCHAR, 'null')" for c in ("repo_name", "new_path", "commit_hash", "c.type", "c.start_line", "c.end_line", model)]
+    return f"substr(sha1('[' || {' || chr(44) || chr(32) || '.join(texts)} || ']'), 1, 16)"
+
+
+@query(f"""WITH comments AS (SELECT DISTINCT repo_name, new_path, commit_hash, c FROM (SELECT repo_name, new_path, commit_hash, unnest(comment_generations) AS c FROM generated_scored)),
+items AS (SELECT repo_name, new_path, commit_hash, c, unnest(c.results).model AS model FROM comments), ids AS (SELECT DISTINCT {_id_sql("model")} AS id, model FROM items)
+SELECT id, model FROM ids WHERE id IN (SELECT id FROM annotations)""")
 def str6_item_ids(spark, sf_dir):
-    """Items that have an annotation, found by their id."""
+    """STR-6, STR-5: items that have an annotation, found by their id."""
     g = _t(spark, sf_dir, "generated_scored").select(*rec.RECORD_KEY, F.explode("comment_generations").alias("c")).select(*rec.RECORD_KEY, "c.type", "c.start_line", "c.end_line", F.explode("c.results.model").alias("model"))
     ids = g.distinct().withColumn("id", udfs.item_id("repo_name", "new_path", "commit_hash", "type", "start_line", "end_line", "model"))
-    return ids.join(_t(spark, sf_dir, "annotations").select("id").distinct(), "id", "left_semi").select("id", "model")
+    return ids.join(_t(spark, sf_dir, "annotations").select("id").distinct(), "id", "left_semi").select("id", "model").distinct()
 
 
 @query(f"WITH {_TARGETS} SELECT file_id, pos, 'Fix the ' || c.type || ' comment at ' || c.start_line || ' in ' || repo_name AS prompt FROM targets WHERE repo_name IS NOT NULL AND c.type IS NOT NULL")
@@ -478,9 +554,55 @@ def str7_template(spark, sf_dir):
 # ---- text metrics
 
 
-@query()
+_LCS_SQL = """list_reduce(list_concat([list_transform(b, lambda w: 0)], list_transform(a, lambda w: list_transform(b, lambda v: (v = w)::INT))),
+  lambda old, eq: list_transform(range(1, len(old) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: greatest(old[k], CASE WHEN eq[k] = 1 THEN (CASE WHEN k > 1 THEN old[k - 1] ELSE 0 END) + 1 ELSE 0 END)))))[-1]"""
+
+
+def _words_sql(x: str) -> str:
+    return f"list_filter(string_split(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda w: w <> '')"
+
+
+@query(f"WITH {_RESULTS}, {_BLEU_SQL} SELECT result_id, {', '.join(f'round({_bleu_sql(n)}, 7) AS bleu{n}' for n in range(1, 5))} FROM wide")
 def txt1_pair_scores(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("result_id", *(F.round(c, 9).alias(c) for c in ("bleu1", "bleu2", "bleu3", "bleu4", "rougeL")))
+    return _pairs(spark, sf_dir).select("result_id", *(F.round(c, 7).alias(c) for c in ("bleu1", "bleu2", "bleu3", "bleu4")))
+
+
+@query(f"""WITH {_RESULTS}, {_SCORABLE}, words AS (SELECT result_id, {_words_sql("p")} AS a, {_words_sql("q")} AS b FROM scorable),
+x AS (SELECT result_id, len(a) AS n, len(b) AS m, CASE WHEN len(a) > 0 AND len(b) > 0 THEN {_LCS_SQL} ELSE 0 END AS k FROM words)
+SELECT result_id, CASE WHEN k = 0 THEN 0.0 ELSE round(2 * (k / n) * (k / m) / (k / n + k / m), 7) END AS rouge_l FROM (SELECT result_id, n, m, k::DOUBLE AS k FROM x)""")
+def txt2_rouge_l(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("result_id", F.round("rougeL", 7).alias("rouge_l"))
+
+
+@query()
+def txt6_prompt_tokens(spark, sf_dir):
+    """TXT-6, AGG-11: tokens of each target prompt by a public vocabulary."""
+    c = rec.target_comments(_t(spark, sf_dir, "dataset"), "prompt").where("prompt IS NOT NULL")
+    return c.select("file_id", "pos", tokens.token_counts(F.col("prompt")).alias("n_tokens"))
+
+
+@query()
+def agg8_token_stats(spark, sf_dir):
+    """AGG-8: prompts once per comment, outputs once per result, failures apart; by a public vocabulary."""
+    return agg.token_stats(_t(spark, sf_dir, "generated_scored"))
+
+
+@query()
+def agg10_context_tally(spark, sf_dir):
+    """FIL-9, FIL-10, AGG-10: prompts that leave no room for an answer, their tokens counted where bytes do not decide."""
+    files = rec.once(_t(spark, sf_dir, "dataset"), "file_id", "new_path", "target_comments")
+    prompts = files.select("new_path", F.explode("target_comments.prompt").alias("prompt")).where("prompt IS NOT NULL")
+    return agg.overflow_tally(prompts.select("new_path", tokens.token_counts(F.col("prompt")).alias("n_tokens")), _t(spark, sf_dir, "context_windows"))
+
+
+@query(f"""WITH {_RESULTS}, o AS (SELECT count(*) AS n, avg(ceil(octet_length(encode(r.raw_response)) / 4.0)) AS mean FROM results WHERE r.raw_response IS NOT NULL),
+c AS (SELECT DISTINCT file_id, c.type AS t, c.start_line AS a, c.end_line AS b, c.prompt AS prompt FROM comments), p AS (SELECT count(*) AS n, avg(ceil(octet_length(encode(prompt)) / 4.0)) AS mean FROM c WHERE prompt IS NOT NULL)
+SELECT round(p.mean * p.n / 1e6 * 2.0, 9) AS input_cost, round(o.mean * p.n / 1e6 * 10.0, 9) AS output_cost, round(p.mean * p.n / 1e6 * 2.0 + o.mean * p.n / 1e6 * 10.0, 9) AS total_cost FROM p, o""")
+def agg9_cost(spark, sf_dir):
+    """AGG-9: a run projected at prices that are parameters, on a quarter of the bytes."""
+    quarter = lambda c: F.ceil(F.octet_length(c) / 4)
+    stats = agg.token_stats(_t(spark, sf_dir, "generated_scored"), lambda c: quarter(c)).where("model IS NULL")
+    return agg.project_cost(stats, 2.0, 10.0)
 
 
 @query("""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), q AS (SELECT * FROM e WHERE vec_id % 100 = 0),
@@ -509,30 +631,58 @@ def txt3_greedy_f1(spark, sf_dir):
 # ---- source code
 
 
-@query()
+_ELIGIBLE_SQL = "new_path LIKE '%.py' AND change_type = 'MODIFY' AND source_code IS NOT NULL AND previous_source_code IS NOT NULL AND commit_message IS NOT NULL"
+
+
+@query(f"WITH {_FILES} SELECT file_id, len(target_comments) AS n_found FROM files WHERE {_ELIGIBLE_SQL} AND len(target_comments) > 0")
 def code1_comment_changes(spark, sf_dir):
-    """CODE-1, JOIN-6, WIN-1, WIN-4: comments of each eligible file by kind and status; files that do not tokenize apart."""
+    """CODE-1, JOIN-6, WIN-1, WIN-4, ORD-2: how many of the stored targets are among a file's new or changed comments, with the same place and anchor."""
+    d = widen(_t(spark, sf_dir, "dataset").where(rec.eligible_files() & (F.size("target_comments") > 0))).select("file_id", "target_comments", code.changed_comments("source_code", "previous_source_code").alias("x"))
+    same = lambda t: F.exists("x.comments", lambda c: (F.rtrim(F.split(c["comment"], "\n")[0]) == F.split(t["comment"], "\n")[0]) & (c["type"] == t["type"]) & (c["start_line"] == t["start_line"]) & (c["end_line"] == t["end_line"]) & F.rtrim(c["anchor"]).eqNullSafe(F.rtrim(t["anchor"])) & c["status"].isin("added", "modified"))
+    counted = d.select("file_id", F.size(F.filter("target_comments", same)).cast("long").alias("n_found"))
+    # a row's counts are those of its file, so the small result is deduplicated and no text is moved
+    return counted.where("file_id IS NOT NULL").dropDuplicates(["file_id"])
+
+
+@query()
+def code1_statuses(spark, sf_dir):
+    """JOIN-6: comments of each eligible file by status; files that do not tokenize apart."""
     d = widen(_t(spark, sf_dir, "dataset").where(rec.eligible_files())).select("file_id", code.changed_comments("source_code", "previous_source_code").alias("x"))
     n = lambda s: F.coalesce(F.size(F.filter("x.comments", lambda c: c["status"] == s)), F.lit(0))
     counts = [F.greatest(n(s), F.lit(0)).cast("long").alias(f"n_{s}") for s in ("added", "modified", "unchanged", "removed")]
-    # a row's counts are those of its file, so the small result is deduplicated and no text is moved
     return d.select("file_id", F.col("x.error").isNotNull().alias("parse_error"), *counts).where("file_id IS NOT NULL").dropDuplicates(["file_id"])
 
 
-@query()
+_SCOPED = r"^(?:#[^\n]*\n)*(?:@|def |async def |class )"
+
+
+@query(f"WITH {_TARGETS} SELECT t.file_id, pos, false AS failed, CASE WHEN regexp_matches(c.prompt_code, '{_SCOPED}') THEN md5(c.prompt_code) END AS code_md5 FROM targets t JOIN files f USING (file_id) WHERE f.source_code IS NOT NULL")
 def code2_prompt_code(spark, sf_dir):
-    """CODE-2, JOIN-7, JOIN-8, T14: prompt code of each target comment against the stored one."""
-    d = rec.once(_t(spark, sf_dir, "dataset"), "file_id", "source_code", "target_comments").where("source_code IS NOT NULL")
-    c = d.select("file_id", "source_code", F.posexplode("target_comments").alias("pos", "c"))
-    got = c.select("file_id", "pos", F.col("c.prompt_code").alias("stored"), code.prompt_codes("source_code", "c.type", "c.start_line", "c.end_line", "c.anchor").alias("p"))
-    return got.select("file_id", "pos", F.col("p.error").isNotNull().alias("failed"), F.col("p.code").eqNullSafe(F.col("stored")).alias("as_stored"))
+    """CODE-2, JOIN-7, WIN-6, T14: the prompt code of each target, against the stored one where that is of a function or class.
+
+    A file is parsed once for all its targets; the small result is deduplicated, so no text is moved.
+    """
+    slim = F.transform("target_comments", lambda c: F.struct(c["type"].alias("type"), c["start_line"].alias("start_line"), c["end_line"].alias("end_line"), c["anchor"].alias("anchor")))
+    d = widen(_t(spark, sf_dir, "dataset").where(F.col("file_id").isNotNull() & F.col("source_code").isNotNull() & (F.size("target_comments") > 0)))
+    coded = d.select("file_id", F.col("target_comments.prompt_code").alias("stored"), code.prompt_codes("source_code", slim).alias("p"))
+    digests = F.zip_with("stored", "p", lambda s, p: F.struct(p["error"].isNotNull().alias("failed"), F.when(s.rlike(_SCOPED), F.md5(p["code"])).alias("code_md5")))
+    small = coded.select("file_id", digests.alias("d")).dropDuplicates(["file_id"])
+    return small.select("file_id", F.posexplode("d").alias("pos", "x")).select("file_id", "pos", "x.failed", "x.code_md5")
+
+
+@query(f"WITH {_TARGETS} SELECT file_id, pos, len(regexp_split_to_array(regexp_replace(c.prompt_code, '\n$', ''), '\n')) AS lines_of_code FROM targets WHERE c.prompt_code IS NOT NULL AND c.prompt_code <> ''")
+def code5_lines(spark, sf_dir):
+    """CODE-5, T12."""
+    c = rec.target_comments(_t(spark, sf_dir, "dataset"), "prompt_code").where("prompt_code IS NOT NULL AND prompt_code <> ''")
+    return c.select("file_id", "pos", F.size(text.lines("prompt_code")).cast("long").alias("lines_of_code"))
 
 
 @query()
 def code3_complexity(spark, sf_dir):
     c = rec.target_comments(_t(spark, sf_dir, "dataset"), "prompt_code").where("prompt_code IS NOT NULL")
-    codes = spread(c.select("prompt_code").distinct()).select("prompt_code", code.complexity("prompt_code").alias("m"))
-    return c.select("file_id", "pos", "prompt_code").join(codes, "prompt_code").select("file_id", "pos", "m.*")
+    keyed = c.select("file_id", "pos", F.md5("prompt_code").alias("code_key"), "prompt_code")
+    codes = apart(keyed.select("code_key", "prompt_code"), "code_key").select("code_key", code.complexity("prompt_code").alias("m"))
+    return keyed.select("file_id", "pos", "code_key").join(codes, "code_key").select("file_id", "pos", "m.*")
 
 
 # ---- whole stages
@@ -556,7 +706,12 @@ def agg3_merge_counts(spark, sf_dir):
     return pipelines.merge_shard_counts(shards)
 
 
-@query()
+@query(f"""WITH {_RESULTS}, s AS (SELECT result_id, model, r.scores.bertscore_f1 AS score FROM results WHERE r.scores.bertscore_f1 IS NOT NULL AND NOT isnan(r.scores.bertscore_f1) AND NOT starts_with(model, '<')),
+k AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY score) AS i, count(*) OVER (PARTITION BY model) AS n FROM s), cut AS (SELECT model, score AS threshold FROM k WHERE i = ceil(0.2::DOUBLE * n)),
+quota AS (SELECT ceil(100.0 / count(*)) AS q FROM cut), z AS (SELECT s.*, row_number() OVER (PARTITION BY s.model ORDER BY md5('0:' || result_id), result_id) AS i FROM s JOIN cut USING (model) WHERE score <= threshold),
+picked AS (SELECT result_id, model, score FROM z, quota WHERE i <= q), keys AS (SELECT result_id, any_value({_id_sql("m")}) AS id FROM (SELECT DISTINCT ON (x.result_id) x.result_id AS result_id, repo_name, new_path, commit_hash, c, CASE WHEN coalesce(x.model, '') = '' THEN '<unknown>' ELSE x.model END AS m
+  FROM (SELECT repo_name, new_path, commit_hash, c, unnest(c.results) AS x FROM comments)) GROUP BY result_id)
+SELECT id, model, result_id, score FROM picked JOIN keys USING (result_id)""")
 def prj5_sample_items(spark, sf_dir):
     return pipelines.sample_items(_t(spark, sf_dir, "generated_scored"), "bertscore_f1", 0.2, 100).select("id", "model", "result_id", "score")
 
@@ -606,6 +761,6 @@ def viz3_matrix(spark, sf_dir):
 
 
 @query("SELECT event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY event_type")
-def stm2_event_totals(spark, sf_dir):
-    """STM-2, STM-3 in batch form; ``streaming.ledger`` runs them over a stream."""
+def agg_event_totals(spark, sf_dir):
+    """Counts and sums by kind of event; ``streaming.ledger`` has the operators on streams."""
     return _t(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def get_spark(app: str = "marginalia", cores: str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
-    """A local session with the settings every operator assumes: UTC, AQE on, ANSI left on."""
+def get_spark(app: str = "marginalia", cores: str = "*", shuffle_partitions: int = 8, master: str | None = None, **conf: str) -> SparkSession:
+    """A session with the settings every operator assumes: UTC, AQE on, ANSI left on; local unless a master is named."""
     builder = (
-        SparkSession.builder.master(f"local[{cores}]")
+        SparkSession.builder.master(master or os.environ.get("MARGINALIA_MASTER", f"local[{cores}]"))
         .appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -27,12 +28,15 @@ def get_spark(app: str = "marginalia", cores: str = "*", shuffle_partitions: int
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one is set only where the session names none (tests)."""
+    """The shared folder that the session names; a local one only where all runs on this machine and none is named."""
     held = spark.sparkContext.getCheckpointDir()
     if held:
         return held
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    target = named or tempfile.mkdtemp(prefix="marginalia-checkpoint-")
+    target = spark.conf.get("spark.checkpoint.dir", None)
+    if not target:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        target = tempfile.mkdtemp(prefix="marginalia-checkpoint-")
     spark.sparkContext.setCheckpointDir(target)
     return target
 
@@ -49,6 +53,6 @@ def widen(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Exactly as many partitions as configured: what follows costs far more than its bytes tell the planner."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+def apart(df: DataFrame, key: str) -> DataFrame:
+    """Rows of each key once, in as many partitions as configured: what follows costs more than its bytes tell the planner."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key).dropDuplicates([key])

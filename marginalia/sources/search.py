@@ -1,4 +1,4 @@
-"""Repository search and model completions as sources with an injected transport (SRC-14 to SRC-16, SRC-21, SRC-22, DATE-1)."""
+"""Repository search and model completions as sources with an injected transport (SRC-14 to SRC-16, SRC-21, DATE-1)."""
 
 from __future__ import annotations
 
@@ -124,6 +124,20 @@ class _Reader(DataSourceReader):
             yield tuple(record.get(n) for n in self.names)
 
 
+def listing(call: Callable[[str, str], tuple[int, dict, object]], tokens: list[str], base: str, per_page: int = 100, wait: Callable[[float], None] = time.sleep) -> Callable[[Slice], list[dict]]:
+    """SRC-14: a transport that asks a search service for a slice page by page, over ``call`` of (url, token).
+
+    The query is the slice's text; answers hold ``items`` and name the next page in their headers.
+    """
+    from urllib.parse import urlencode
+
+    def fetch(url: str) -> tuple[dict, list[dict]]:
+        headers, body = with_retries(lambda token: call(url, token), tokens, wait)
+        return headers, body["items"]
+
+    return lambda s: list(pages(fetch, f"{base}?{urlencode({'q': s.text(), 'per_page': per_page, 'sort': 'stars', 'order': 'desc'})}"))
+
+
 def offline(partition: Slice) -> list[dict]:
     """Transport without a network: finds nothing and says so by its emptiness."""
     return []
@@ -140,7 +154,7 @@ COMPLETION = "raw_response string, comment_text string, error string"
 
 
 def complete(prompts: DataFrame, client: Callable[[], Callable[[str, str], str]], attempts: int = 5, seed: int = 0) -> DataFrame:
-    """SRC-21, SRC-22, PRJ-4: ``prompts`` (key columns, model, prompt) with each model's answer or error.
+    """SRC-21, PRJ-4: ``prompts`` (key columns, model, prompt) with each model's answer or error.
 
     ``client`` is called once per worker and returns a function of model and prompt.  Failed calls are tried again
     with growing random waits; an answer that is empty once unwrapped is an error but keeps its raw text.

@@ -117,12 +117,91 @@ def test_finite(spark):
 
 def test_reports():
     assert reports.fence("a ``` b") == "````\na ``` b\n````"
-    assert "| a | b |" in reports.to_markdown([{"a": 1, "b": "x|y"}]) and "x\\|y" in reports.to_markdown([{"a": 1, "b": "x|y"}])
+    assert reports.page("n", [{"a": 1, "b": "x|y"}]) == "# n\n\n---\n\n## Record 1\n\n| Key | Value |\n| --- | --- |\n| a | 1 |\n| b | x\\|y |\n\n"
+    assert list(reports.blocks([{"a": "x\ny"}, {}], 7, "k")) == ["**k 1**", "**a**", "```\nx\ny\n```", "---", "**k 2**", "{}"]
+    assert reports.code_span("a`b") == "`` a`b ``" and reports.code_span("x") == "`x`" and list(reports.blocks("a\n```\n\nb", 1, "")) == ["> a\n> ```\n>\n> b"]
+    assert [reports.looks_like_code(x) for x in ("# x", "a.b", "1.5", "a/b", "x == y", "plain words", "f()")] == [True, True, False, True, True, False, True]
+    assert "No failures in 3" in reports.failure_report("r", [], 3) and "Every prompt fits all 1 models." in reports.context_report("d", [{"window_name": "w", "capacity": 1, "n_comments": 2, "n_overflows": 0, "overflow_percentage": 0.0, "median_overflow": None, "worst_overflow": None, "n_overflow_paths": 0}], 0)
+    assert "[" not in reports.review({"repo_name": "r", "commit_hash": "c", "new_path": "p", "start_line": 1, "end_line": 2, "model": "m"})
     assert reports.with_comment("  # Add the comment here\nx", "# a\n# b", "block") == "  # a\n  # b\nx"
     assert reports.with_comment("y  # Add the comment here", "# a\n# b", "inline") == "y  # a # b"
     assert "–" in reports.report("t", [{"n": 0, "m": "x"}])
 
 
+def test_parts_never_fall_as_values_rise(spark):
+    from marginalia.operators import ranks
+
+    rng = random.Random(3)
+    values = sorted({0.0, 1.0, -1.0, 0.5, 2.0, 1e-300, 5e-324, 1e300, float("inf"), float("-inf"), *(rng.uniform(-1, 1) * 10 ** rng.randint(-12, 12) for _ in range(3000)), *(2.0**k for k in range(-60, 60)), *(math.nextafter(2.0**k, 0) for k in range(-60, 60))})
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", ranks.value_part(F.col("v")).alias("p")).collect()
+    parts = [r.p for r in sorted(rows, key=lambda r: r.v)]
+    assert parts == sorted(parts) and len(set(parts)) > 2500
+
+
+def test_running_counts_medians_and_ranks(spark):
+    from marginalia.operators import ranks
+
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([round(rng.gauss(0, 1), 1), rng.lognormvariate(0, 3), 0.0])) for _ in range(700)] + [("n", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    by = {}
+    for g, v in rows:
+        if v is not None:
+            by.setdefault(g, []).append(v)
+    run = ranks.running(ranks.counted(df, ["g"], "v"), ["g"], "v").collect()
+    assert all((r._before, r._n, r._total) == (sum(x < r.v for x in by[r.g]), by[r.g].count(r.v), len(by[r.g])) for r in run) and len(run) == sum(len(set(x)) for x in by.values())
+    assert {r.g: r.m for r in ranks.medians(df, ["g"], "v", "m").collect()} == {g: statistics.median(x) for g, x in by.items()}
+    mean = {(r.g, r.v): r.k for r in ranks.average_ranks(ranks.counted(df, ["g"], "v"), ["g"], "v", "k").collect()}
+    assert all(k == sum(x < v for x in by[g]) + (by[g].count(v) + 1) / 2 for (g, v), k in mean.items())
+    assert ranks.medians(df.where("false"), ["g"], "v", "m").collect() == []
+
+
+def test_candidates_are_enough(spark):
+    limits = spark.createDataFrame([("a", 5), ("b", 2)], "model string, n_candidates long")
+    agg.require_candidates(limits, "model", 2)
+    with pytest.raises(ValueError, match="b has 2 of 3"):
+        agg.require_candidates(limits, "model", 3)
+
+
+def test_views_of_annotations(spark):
+    df = spark.createDataFrame([("a", ["x"], True), ("b", [], False), ("c", None, None)], "id string, tags array<string>, done boolean")
+    ids = lambda *v: "".join(sorted(r.id for r in df.where(rec.in_view(*v)).collect()))
+    assert [ids(v) for v in rec.ANNOTATION_VIEWS] == ["abc", "bc", "a", "bc"] and ids("tag", "x") == "a"
+    with pytest.raises(ValueError):
+        rec.in_view("other")
+
+
+def test_intents(spark):
+    c = "struct<type:string,status:string,comment:string,intent:string>"
+    df = spark.createDataFrame([(("block", "added", "# keep", i),) for i in ("why", None, "todo")], f"c {c}")
+    assert [r.ok for r in df.select(rec.is_target(F.col("c"), F.col("c.intent")).alias("ok")).collect()] == [True, True, False]
+
+
+def test_token_counts(spark):
+    from marginalia.functions import tokens
+
+    texts = ["def f(a): return a", "", None, "<|endoftext|> Grüße 😀", "x" * 5000]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    count = tokens.vocabulary()()
+    want = [None if t is None else count([t])[0] for t in texts]
+    got = {r.k: (r.n, list(r.a)) for r in df.select("k", tokens.token_counts(F.col("t")).alias("n"), tokens.array_token_counts(F.array("t", F.lit(None).cast("string"))).alias("a")).collect()}
+    assert [got[k][0] for k in range(5)] == want and [got[k][1] for k in range(5)] == [[w, None] for w in want]
+    assert want[1] == 0 and tokens.vocabulary("unknown")()(["a b"]) == count(["a b"])
+    own = lambda: lambda x: [len(t) for t in x]
+    assert [r.n for r in df.orderBy("k").select(tokens.token_counts(F.col("t"), own).alias("n")).collect()] == [18, 0, None, len(texts[3]), 5000]
+
+
+def test_token_stats_and_cost(spark):
+    g = "file_id long, comment_generations array<struct<type:string,start_line:int,end_line:int,prompt:string,results:array<struct<result_id:long,model:string,raw_response:string>>>>"
+    rows = [(1, [("b", 1, 1, "aa", [(1, "m", "bbbb"), (2, "", None)]), ("b", 2, 2, "aaaa", [(3, "m", "bb")])])]
+    df = spark.createDataFrame(rows + rows, g)
+    by = {r.model: r for r in agg.token_stats(df, F.length).collect()}
+    r = by[None]
+    assert (r.n_prompts, r.prompt_tokens, r.n_outputs, r.n_failed, r.output_tokens, r.average_output_tokens) == (2, 6, 2, 1, 6, 3.0) and by["<unknown>"].n_failed == 1
+    cost = agg.project_cost(agg.token_stats(df, F.length).where("model IS NULL"), 2.0, 10.0).collect()[0]
+    assert cost.total_cost == pytest.approx(6 / 1e6 * 2 + 3 * 2 / 1e6 * 10)
+
+
 def test_greedy_f1(spark):
     a = spark.createDataFrame([("x", 1, [1.0, 0.0]), ("x", 2, [0.0, 2.0]), ("y", 1, [1.0, 0.0])], "p string, t int, v array<double>")
     b = spark.createDataFrame([("x", 1, [3.0, 0.0])], a.schema)

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from marginalia.functions import tokens
 from marginalia.plans import pipelines
 
 RAW = "file_id long, repo_name string, commit_hash string, new_path string, change_type string, commit_message string, source_code string, previous_source_code string"
@@ -18,8 +19,36 @@ def raw(spark):
     return spark.createDataFrame(rows, RAW)
 
 
+by_bytes = tokens.by_bytes  # a token for each byte
+
+
+def test_prompts_that_fit_by_tokens_are_kept(spark):
+    """Bytes only spare the counting: three thousand equal letters are few tokens."""
+    r = pipelines.filter_files(raw(spark), ["by a bot"], 2512).funnel().collect()[0]
+    assert (r.n_context_overflow, r.num_files, r.num_target_comments, r.num_target_comments_overflow) == (0, 2, 3, 0)
+    r = pipelines.filter_files(raw(spark), ["by a bot"], 640).funnel().collect()[0]
+    assert (r.n_context_overflow, r.num_files, r.num_target_comments_overflow) == (1, 1, 2)
+
+
+def test_late_overflow_filter(spark):
+    kept = pipelines.filter_files(raw(spark), ["by a bot"], 99_999, counter=by_bytes).kept()
+    left, counts = pipelines.drop_overflows(kept, 2512, by_bytes)
+    assert [(r.file_id, len(r.target_comments)) for r in left.collect()] == [(5, 1)]
+    assert tuple(counts.collect()[0]) == (1, 1, 1, 1, 1, 2)
+    assert pipelines.drop_overflows(kept.where("false"), 2512, by_bytes)[1].collect()[0].num_files == 0
+
+
+def test_earlier_scores_are_taken_over(spark):
+    cols = "k int, comment_text string, comment string, error string"
+    now = spark.createDataFrame([(1, "# keep it", "# keep it", None), (2, "# new", "# keep it", None), (3, None, "# keep it", "failed")], cols)
+    s = "struct<bleu1:double,bleu2:double,bleu3:double,bleu4:double,rougeL:double,bertscore_f1:double>"
+    old = spark.createDataFrame([(1, "# keep it", (9.0,) * 6), (2, "# old", (9.0,) * 6), (3, None, (9.0,) * 6), (7, "x", (9.0,) * 6)], f"k int, comment_text string, scores {s}")
+    got = {r.k: r.scores for r in pipelines.score(now, previous=old, keys=["k"]).collect()}
+    assert got[1].rougeL == 9.0 and got[2].rougeL == 0.0 and got[3] is None and len(got) == 3
+
+
 def test_funnel_and_kept_files(spark):
-    got = pipelines.filter_files(raw(spark), ["by a bot"], 2512)
+    got = pipelines.filter_files(raw(spark), ["by a bot"], 2512, counter=by_bytes)
     r = got.funnel().collect()[0]
     assert (r.raw_num_files, r.n_wrong_metadata, r.n_marked_message, r.n_comment_parse_error, r.n_no_target_comments, r.n_context_overflow, r.num_files) == (8, 2, 1, 1, 1, 1, 1)
     assert r.n_prompt_code_error == 1
@@ -31,12 +60,12 @@ def test_funnel_and_kept_files(spark):
 
 
 def test_results_do_not_depend_on_partitions(spark):
-    one = pipelines.filter_files(raw(spark).repartition(1), [], 2512).funnel().collect()
-    assert one == pipelines.filter_files(raw(spark).repartition(5), [], 2512).funnel().collect()
+    one = pipelines.filter_files(raw(spark).repartition(1), [], 2512, counter=by_bytes).funnel().collect()
+    assert one == pipelines.filter_files(raw(spark).repartition(5), [], 2512, counter=by_bytes).funnel().collect()
 
 
 def test_generate_resume_regroup_and_score(spark):
-    kept = pipelines.filter_files(raw(spark), ["by a bot"], 2512).kept()
+    kept = pipelines.filter_files(raw(spark), ["by a bot"], 2512, counter=by_bytes).kept()
 
     def client():
         return lambda model, prompt: "```python\n# the least value\n```" if model == "m1" else ""
