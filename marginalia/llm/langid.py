@@ -66,6 +66,9 @@ _SPELLED = str.maketrans({"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss", "ı":
 _RUN_SCRIPTS = frozenset(["th", "ka", "ha"])  # a token of these is a run of many words
 
 
+_LETTER, _LATIN_LETTER = re.compile(r"[^\W\d_]"), re.compile("[A-Za-z\u00aa-\u024f]")
+
+
 def _bare(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c))
 
@@ -268,10 +271,9 @@ def train(texts: list[tuple[str, str]]) -> Model:
 
     It learns twice, as texts that the first model gives to another language were labelled wrongly.
     """
-    read = [(lang, _latin_words(text), sum(map(str.isalpha, text))) for lang, text in texts]
-    latin = [(lang, words, 2 * sum(map(len, words)) > letters) for lang, words, letters in read]
-    total, own = Counter(lang for lang, _, _ in latin), Counter(lang for lang, _, is_latin in latin if is_latin)
-    kept = [(lang, words) for lang, words, is_latin in latin if is_latin and 2 * own[lang] > total[lang]]
+    latin = [(lang, text) for lang, text in texts if 2 * len(_LATIN_LETTER.findall(text)) > len(_LETTER.findall(text))]
+    total, own = Counter(lang for lang, _ in texts), Counter(lang for lang, _ in latin)
+    kept = [(lang, _latin_words(text)) for lang, text in latin if 2 * own[lang] > total[lang]]
     first = Model(kept)
     return Model([(lang, words) for lang, words in kept if lang in first.langs and first.label(words) == lang])
 
