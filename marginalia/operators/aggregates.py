@@ -128,31 +128,43 @@ def corpus_bleu(pairs: DataFrame, group: str, order: int = 4) -> DataFrame:
 
 
 def correlations(rows: DataFrame, group: Sequence[str], x: str, y: str) -> DataFrame:
-    """AGG-14, FIL-16, WIN-3: Pearson and Spearman with two-sided p, and a status where they cannot be had.
+    """AGG-14, FIL-16, WIN-3: Pearson and Spearman with two-sided p, and a status where they cannot be had."""
+    return correlation_grid(rows, group, x, [y]).drop("y")
 
-    Equal pairs are counted first and the counts written, as means, ranks and sums all read them.
+
+def correlation_grid(rows: DataFrame, group: Sequence[str], x: str, ys: Sequence[str]) -> DataFrame:
+    """The same of ``x`` with each of the columns ``ys``, named in ``y``.
+
+    Equal rows are counted first and the counts written, as ranks, means and sums all read them.  The ranks of ``x``
+    among the rows that have a value of each ``y`` come from one pass, with a count for each.
     """
-    good = rows.where(is_finite(F.col(x).cast("double")) & is_finite(F.col(y).cast("double"))).select(*group, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    pairs = cut(good.groupBy(*group, "x", "y").agg(F.count("*").alias("n")))
+    number = lambda c: F.when(is_finite(F.col(c).cast("double")), F.col(c).cast("double"))
+    names = [f"_y{k}" for k in range(len(ys))]
+    good = rows.select(*group, number(x).alias("x"), *(number(c).alias(n) for c, n in zip(ys, names, strict=True))).where("x IS NOT NULL")
+    held = cut(good.groupBy(*group, "x", *names).agg(F.count("*").alias("n")))
     n = F.col("n")
-    ends = pairs.groupBy(*group).agg((F.sum(F.col("x") * n) / F.sum(n)).alias("mx"), (F.sum(F.col("y") * n) / F.sum(n)).alias("my"), (F.sum(n) / 2 + 0.5).alias("mr"), ((F.min("x") == F.max("x")) | (F.min("y") == F.max("y"))).alias("flat"))
-    rx = ranks.average_ranks(ranks.counted(pairs, group, "x", "n"), group, "x", "rx")
-    ry = ranks.average_ranks(ranks.counted(pairs, group, "y", "n"), group, "y", "ry")
-    ranked = pairs
-    for other, on in ((rx, [*group, "x"]), (ry, [*group, "y"]), (ends, group)):
-        ranked = join_same(ranked, other, on)
+    each = [F.sum(F.when(F.col(c).isNotNull(), n).otherwise(0)).alias(f"_n{c}") for c in names]
+    run = ranks.running(held.groupBy(*group, "x").agg(*each), group, "x", *(f"_n{c}" for c in names))
+    rx = run.select(*group, "x", *((F.col(f"_n{c}_before") + (F.col(f"_n{c}") + 1) / 2).alias(f"_r{c}") for c in names))
+    part = lambda *more: F.inline(F.array(*(F.struct(F.lit(y).alias("y"), F.col(c).alias("v"), *(F.col(f"{m}{c}").alias("rx") for m in more)) for y, c in zip(ys, names, strict=True))))
+    on = [*group, "y"]
+    plain = held.select(*group, "x", "n", part()).where("v IS NOT NULL")
+    ry = ranks.average_ranks(ranks.counted(plain, on, "v", "n"), on, "v", "ry")
+    ends = plain.groupBy(*on).agg((F.sum(F.col("x") * n) / F.sum(n)).alias("mx"), (F.sum(F.col("v") * n) / F.sum(n)).alias("mv"), (F.sum(n) / 2 + 0.5).alias("mr"), ((F.min("x") == F.max("x")) | (F.min("v") == F.max("v"))).alias("flat"))
+    ranked = join_same(held, rx, [*group, "x"]).select(*group, "x", "n", part("_r")).where("v IS NOT NULL")
+    ranked = join_same(join_same(ranked, ry, [*on, "v"]), ends, on)
 
     def r(a: str, b: str, ma: str, mb: str) -> Column:
         da, db = F.col(a) - F.col(ma), F.col(b) - F.col(mb)
         value = F.try_divide(F.sum(n * da * db), F.sqrt(F.sum(n * da * da)) * F.sqrt(F.sum(n * db * db)))
         return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value))
 
-    got = ranked.groupBy(*group).agg(F.sum("n").alias("n"), F.any_value("flat").alias("flat"), r("x", "y", "mx", "my").alias("p"), r("rx", "ry", "mr", "mr").alias("s"))
+    got = ranked.groupBy(*on).agg(F.sum("n").alias("n"), F.any_value("flat").alias("flat"), r("x", "v", "mx", "mv").alias("p"), r("rx", "ry", "mr", "mr").alias("s"))
     usable = (F.col("n") >= 2) & ~F.col("flat")
     status = F.when(F.col("n") < 2, "insufficient_data").when(F.col("flat"), "constant_input").when(F.col("n") == 2, "spearman_p_value_unavailable").otherwise("ok")
     pearson, spearman = F.when(usable, F.col("p")), F.when(usable, F.col("s"))
     return got.select(
-        *group, "n", F.round(pearson, 9).alias("pearson_r"), F.round(p_value(pearson, "n"), 9).alias("pearson_p_value"),
+        *on, "n", F.round(pearson, 9).alias("pearson_r"), F.round(p_value(pearson, "n"), 9).alias("pearson_p_value"),
         F.round(spearman, 9).alias("spearman_r"), F.when(F.col("n") > 2, F.round(p_value(spearman, "n"), 9)).alias("spearman_p_value"), status.alias("status"),
     )
 

@@ -27,17 +27,22 @@ def value_part(value: Column) -> Column:
     return F.when(value < 0, -inner).otherwise(inner).cast("long")
 
 
-def running(counts: DataFrame, group: Sequence[str], value: str, n: str = "_n") -> DataFrame:
-    """``counts``, one row per group and value, with ``_before``, how many are smaller, and ``_total`` of the group."""
+def running(counts: DataFrame, group: Sequence[str], value: str, *ns: str) -> DataFrame:
+    """``counts``, one row per group and value, with ``_before``, how many are smaller, and ``_total`` of the group.
+
+    With several columns of counts, each has its own ``<column>_before``; without any, ``_n`` is the one.
+    """
+    before = {n: f"{n}_before" for n in ns} or {"_n": "_before"}
+    total = {n: f"{n}_total" for n in ns} or {"_n": "_total"}
     placed = counts.withColumn("_part", value_part(F.col(value)))
-    sums = placed.groupBy(*group, "_part").agg(F.sum(n).alias("_sum"))
+    sums = placed.groupBy(*group, "_part").agg(*(F.sum(n).alias(n) for n in before))
     whole = Window.partitionBy(*group)
     ahead = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*group, "_part", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_skip"), F.sum("_sum").over(whole).alias("_total"))
+    offsets = sums.select(*group, "_part", *(F.coalesce(F.sum(n).over(ahead), F.lit(0)).alias(f"_skip{n}") for n in before), *(F.sum(n).over(whole).alias(total[n]) for n in before))
     within = Window.partitionBy(*group, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    local = placed.withColumn("_own", F.coalesce(F.sum(n).over(within), F.lit(0)))
+    local = placed.select("*", *(F.coalesce(F.sum(n).over(within), F.lit(0)).alias(f"_own{n}") for n in before))
     both = join_same(local, offsets, [*group, "_part"])
-    return both.select(*counts.columns, (F.col("_skip") + F.col("_own")).alias("_before"), "_total")
+    return both.select(*counts.columns, *((F.col(f"_skip{n}") + F.col(f"_own{n}")).alias(before[n]) for n in before), *total.values())
 
 
 def counted(rows: DataFrame, group: Sequence[str], value: str, n: str | None = None) -> DataFrame:

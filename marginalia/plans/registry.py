@@ -341,18 +341,18 @@ def _code_metrics(generated):
     return apart(codes.select(F.md5("code").alias("code_key"), "code"), "code_key").select("code_key", code.complexity("code").alias("m"))
 
 
-def _score_grid(spark, sf_dir, names):
-    """Every result's scores beside the metrics ``names`` of its prompt code, unpivoted on both sides."""
+def _scores_beside_metrics(spark, sf_dir):
+    """(model, metric, score) of every result beside the metrics of its prompt code."""
     g = _t(spark, sf_dir, "generated_scored")
     r = rec.results(g, "scores", code_key=F.md5("c.prompt_code")).where("code_key IS NOT NULL")
-    long = rec.unpivot_scores(r.join(_code_metrics(g), "code_key"), "model", "m")
-    return long.select("model", "metric", "score", F.inline(F.array(*(F.struct(F.lit(n).alias("code_metric"), F.col(f"m.{n}").cast("double").alias("value")) for n in names))))
+    return rec.unpivot_scores(r.join(_code_metrics(g), "code_key").select("model", "scores", "m.*"), "model", *code.METRICS)
 
 
 @query()
 def agg14_correlations(spark, sf_dir):
     """Every model, every score, every code metric of the prompt code."""
-    return agg.correlations(_score_grid(spark, sf_dir, code.METRICS), ["model", "metric", "code_metric"], "score", "value")
+    got = agg.correlation_grid(_scores_beside_metrics(spark, sf_dir), ["model", "metric"], "score", code.METRICS)
+    return got.withColumnRenamed("y", "code_metric")
 
 
 @query(f"""WITH {_RESULTS}, {_LONG}, codes AS (SELECT result_id, len(regexp_split_to_array(regexp_replace(c.prompt_code, '\n$', ''), '\n')) AS v FROM results WHERE c.prompt_code IS NOT NULL AND c.prompt_code <> ''),
@@ -361,7 +361,7 @@ k AS (SELECT *, rank() OVER (PARTITION BY model, metric ORDER BY x) + (count(*)
 SELECT model, metric, count(*) AS n, CASE WHEN count(*) > 1 AND min(x) < max(x) AND min(y) < max(y) THEN round(corr(x, y), 7) END AS pearson_r, CASE WHEN count(*) > 1 AND min(x) < max(x) AND min(y) < max(y) THEN round(corr(rx, ry), 7) END AS spearman_r FROM k GROUP BY model, metric""")
 def agg14_score_by_lines(spark, sf_dir):
     """The part of the grid that SQL can say: every model and score against the lines of the prompt code (CODE-5)."""
-    c = agg.correlations(_score_grid(spark, sf_dir, ["lines_of_code"]), ["model", "metric"], "score", "value")
+    c = agg.correlations(_scores_beside_metrics(spark, sf_dir), ["model", "metric"], "score", "lines_of_code")
     return c.select("model", "metric", "n", F.round("pearson_r", 7).alias("pearson_r"), F.round("spearman_r", 7).alias("spearman_r"))
 
 

@@ -360,9 +360,9 @@ def analyze_analyze(spark, o):
 def analyze_correlation(spark, o):
     """CLI-17, AGG-14, JSON-1."""
     _, run = _run(o)
-    long = rec.unpivot_scores(_measured(spark, run), "model", "m")
-    grid = long.select("model", F.col("metric").alias("score_metric"), "score", F.inline(F.array(*(F.struct(F.lit(n).alias("complexity_metric"), F.col(f"m.{n}").cast("double").alias("value")) for n in code.METRICS))))
-    rows = [r.asDict() for r in agg.correlations(grid, ["model", "score_metric", "complexity_metric"], "score", "value").orderBy("model", "score_metric", "complexity_metric").collect()]
+    long = rec.unpivot_scores(_measured(spark, run).select("model", "scores", "m.*"), "model", *code.METRICS).withColumnRenamed("metric", "score_metric")
+    got = agg.correlation_grid(long, ["model", "score_metric"], "score", code.METRICS).withColumnRenamed("y", "complexity_metric")
+    rows = [r.asDict() for r in got.orderBy("model", "score_metric", "complexity_metric").collect()]
     jsonl.write_result(rows, str(run / "correlations.json"))
     return f"{len(rows)} correlations"
 
