@@ -29,7 +29,7 @@ TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 # Fixed value: how this vocabulary's texts are cut into words.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-MAX_WORDS = 1_000_000
+MAX_WORDS, MAX_PAIRS = 1_000_000, 2_000_000  # that a worker remembers
 
 
 def read_vocabulary(folder: str = TOKENIZERS, name: str = VOCABULARY) -> bytes:
@@ -48,6 +48,8 @@ class MergeReplay:
     def _rank(self, left: int, right: int) -> int | None:
         key = (left, right)
         if key not in self.pairs:
+            if len(self.pairs) >= MAX_PAIRS:
+                self.pairs.clear()
             self.pairs[key] = self.ranks.get(self.bytes_of[left] + self.bytes_of[right])
         return self.pairs[key]
 
