@@ -6,6 +6,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from marginalia.functions import text
 from marginalia.functions.tokens import token_counts
@@ -247,3 +249,61 @@ def greedy_f1(candidate: DataFrame, reference: DataFrame, pair: str, token: str,
     columns = cosines.groupBy(pair, "j").agg(F.max("c").alias("c")).groupBy(pair).agg(F.avg("c").alias("recall"))
     both = F.col("precision") + F.col("recall")
     return rows.join(columns, pair).withColumn("f1", F.when(both != 0, 2 * F.col("precision") * F.col("recall") / both))
+
+
+QUERY_BLOCK, VECTOR_BLOCK = 1024, 4096
+
+
+def _matrices(df: DataFrame, tag: str, vector: str, size: int) -> DataFrame:
+    """(tags, m): rows of ``df`` gathered to blocks of at most ``size`` unit vectors; null and zero vectors are left out."""
+    held = df.schema[tag].dataType
+    kind = held.simpleString()
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        of = to_arrow_type(held)
+        tags: list = []
+        rows: list = []
+
+        def flush():
+            m = np.array(rows, np.float64)
+            m /= np.linalg.norm(m, axis=1, keepdims=True)
+            return pa.RecordBatch.from_arrays([pa.array([tags], pa.list_(of)), pa.array([m.tobytes()], pa.binary())], names=["tags", "m"])
+
+        for batch in batches:
+            for t, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if v and any(v):
+                    tags.append(t)
+                    rows.append(v)
+                    if len(rows) == size:
+                        yield flush()
+                        tags, rows = [], []
+        if rows:
+            yield flush()
+
+    return df.select(tag, vector).mapInArrow(run, f"tags array<{kind}>, m binary")
+
+
+def best_cosines(queries: DataFrame, vectors: DataFrame, query_id: str, label: str, vector: str) -> DataFrame:
+    """TXT-3's matching step: (query_id, label, best) of each query against all vectors, by products of blocks."""
+    kinds = f"q {queries.schema[query_id].dataType.simpleString()}, l {vectors.schema[label].dataType.simpleString()}, best double"
+    a = _matrices(queries, query_id, vector, QUERY_BLOCK).toDF("qs", "a")
+    b = _matrices(vectors, label, vector, VECTOR_BLOCK).toDF("ls", "b")
+    arrow = to_arrow_schema(T._parse_datatype_string(kinds))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for qs, left, ls, right in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                cosines = np.frombuffer(left, np.float64).reshape(len(qs), -1) @ np.frombuffer(right, np.float64).reshape(len(ls), -1).T
+                place = {name: k for k, name in enumerate(dict.fromkeys(ls))}
+                of = np.array([place[x] for x in ls])
+                top = np.concatenate([cosines[:, of == k].max(axis=1) for k in place.values()])
+                yield pa.RecordBatch.from_arrays([pa.array(qs * len(place), arrow.field(0).type), pa.array([name for name in place for _ in qs], arrow.field(1).type), pa.array(top)], schema=arrow)
+
+    pairs = b.crossJoin(a).select("qs", "a", "ls", "b")  # a row for each two blocks
+    return pairs.mapInArrow(run, kinds).groupBy(F.col("q").alias(query_id), F.col("l").alias(label)).agg(F.max("best").alias("best"))

@@ -610,12 +610,10 @@ s AS (SELECT q.vec_id AS query_id, e.label, list_cosine_similarity(q.v, e.v) AS
 SELECT query_id, label, round(top, 6) AS best_cosine FROM best""")
 def txt3_greedy_cosine(spark, sf_dir):
     """TXT-3's matching step: each query vector's best cosine in every label, against all vectors; the F1 is ``txt3_greedy_f1``."""
-    e = _t(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("w"))
-    norm = lambda a: F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x * x))
-    dot = F.aggregate(F.zip_with("v", "w", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    pairs = e.join(q).select("query_id", "label", (dot / (norm(F.col("v")) * norm(F.col("w")))).alias("c"))
-    return pairs.groupBy("query_id", "label").agg(F.round(F.max("c"), 6).alias("best_cosine"))
+    e = _t(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    queries = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    got = agg.best_cosines(queries, e, "query_id", "label", "embedding")
+    return got.select("query_id", "label", F.round("best", 6).alias("best_cosine"))
 
 
 @query("""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), s AS (SELECT a.label, a.vec_id AS i, b.vec_id AS j, list_cosine_similarity(a.v, b.v) AS c FROM e a JOIN e b ON a.label = b.label WHERE a.vec_id % 2 = 0 AND b.vec_id % 2 = 1),

@@ -202,6 +202,20 @@ def test_token_stats_and_cost(spark):
     assert cost.total_cost == pytest.approx(6 / 1e6 * 2 + 3 * 2 / 1e6 * 10)
 
 
+def test_best_cosines_in_blocks(spark):
+    rng = random.Random(9)
+    rows = [(k, rng.choice(["x", "y", None]), [rng.gauss(0, 1) for _ in range(5)]) for k in range(40)] + [(50, "x", None), (51, "x", [0.0] * 5), (52, "z", [])]
+    df = spark.createDataFrame(rows, "i long, g string, v array<float>").repartition(3)
+    got = {(r.i, r.g): r.best for r in agg.best_cosines(df.where("i < 6").select("i", "v"), df, "i", "g", "v").collect()}
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+    want = {}
+    for i, _, a in rows[:6]:
+        for k, g, b in rows[:40]:
+            want[i, g] = max(want.get((i, g), -2), cosine(a, b))
+    assert got == pytest.approx(want, abs=1e-6) and len(got) == len(want)
+    assert agg.best_cosines(df.where("false").select("i", "v"), df, "i", "g", "v").collect() == []
+
+
 def test_greedy_f1(spark):
     a = spark.createDataFrame([("x", 1, [1.0, 0.0]), ("x", 2, [0.0, 2.0]), ("y", 1, [1.0, 0.0])], "p string, t int, v array<double>")
     b = spark.createDataFrame([("x", 1, [3.0, 0.0])], a.schema)
